@@ -69,13 +69,13 @@ ORACLE_SQL = {
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
-  SELECT doc_id, at, array_to_string(w[at : at + 12], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS at FROM words)
+  SELECT doc_id, pos, array_to_string(w[pos : pos + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM words)
 ), firsts AS (
   SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING count(*) > 1
 ), gone AS (
   SELECT doc_id, list(DISTINCT p) AS places
-  FROM (SELECT doc_id, unnest(range(at, at + 13)) AS p FROM windows JOIN firsts USING (g) WHERE first < doc_id)
+  FROM (SELECT doc_id, unnest(range(pos, pos + 13)) AS p FROM windows JOIN firsts USING (g) WHERE first < doc_id)
   GROUP BY doc_id
 ), kept AS (
   SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
@@ -141,17 +141,17 @@ FROM q""",
 WITH docs AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), windows AS (
-  SELECT doc_id, at, md5(substr(h, 2 * at + 1, 100)) AS g
-  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS at FROM docs)
+  SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 100)) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS pos FROM docs)
 ), firsts AS (
   SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING count(*) > 1
 ), hits AS (
-  SELECT doc_id, at FROM windows JOIN firsts USING (g) WHERE first < doc_id
+  SELECT doc_id, pos FROM windows JOIN firsts USING (g) WHERE first < doc_id
 ), steps AS (
-  SELECT doc_id, at, CASE WHEN at <= lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 50 THEN 0 ELSE 1 END AS opens FROM hits
+  SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS opens FROM hits
 ), spans AS (
-  SELECT doc_id, min(at) AS a, max(at) + 50 AS b
-  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS s FROM steps) GROUP BY doc_id, s
+  SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s FROM steps) GROUP BY doc_id, s
 ), gaps AS (
   SELECT doc_id, b AS kept_from, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1 << 40) AS kept_to FROM spans
   UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id
