@@ -153,7 +153,7 @@ WITH docs AS (
   SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b
   FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s FROM steps) GROUP BY doc_id, s
 ), gaps AS (
-  SELECT doc_id, b AS kept_from, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1 << 40) AS kept_to FROM spans
+  SELECT doc_id, b AS kept_from, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS kept_to FROM spans
   UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id
 ), kept AS (
   SELECT g.doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (kept_to - kept_from)), '' ORDER BY kept_from) AS k
