@@ -57,8 +57,8 @@ def _unit_hashes() -> np.ndarray:
 def templates(data: np.ndarray, offs: np.ndarray):
     """Per token the value of its template and the hash of its own text, and the token offsets of the rows.
 
-    Tokens are runs of letters and digits in lower case. A run of tokens with
-    digits is one number (1,000.5); a unit is a listed word right after a
+    Tokens are runs of letters and digits in lower case. Tokens that begin with
+    a digit are numbers, several joined by , or . are one (1,000.5); a unit is a listed word right after a
     number; a name is a capitalised word that doesn't start a sentence. In a
     number, the value is the text from its first to its last digit group.
     """
@@ -66,8 +66,7 @@ def templates(data: np.ndarray, offs: np.ndarray):
     low = lowered(data)
     own = kernel.hashes(low, starts, ends)
     row = np.searchsorted(offs, starts, "right") - 1
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    number = digits[ends] > digits[starts]
+    number = _DIGIT[data[starts]]
     first = np.ones(len(starts), bool)
     first[1:] = row[1:] != row[:-1]
     # A sentence starts with the row or after one of .!?: or a line end.

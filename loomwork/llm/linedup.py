@@ -61,11 +61,11 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     texts = texts.select(*key, "w.no", "w.text")
     # Grouping by the text itself is the comparison of bytes.
     first = texts.groupBy("text").agg(F.min(F.struct(*key, "no")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    gone = texts.join(first, "text").where(F.struct(*key, "no") > F.col("first")).groupBy(*key).agg(F.sort_array(F.collect_set("no")).alias("gone"))
-    out = held.join(gone, key, "left").withColumn("__parts", F.when(F.col("gone").isNotNull(), chunks(F.col("text"), divisor)))
-    out = out.withColumn("__kept", F.filter("__parts", lambda c, k: ~F.array_contains("gone", k)))
+    gone = texts.join(first, "text").where(F.struct(*key, "no") > F.col("first")).groupBy(*key).agg(F.sort_array(F.collect_set("no")).alias("__gone"))
+    out = held.join(gone, key, "left").withColumn("__parts", F.when(F.col("__gone").isNotNull(), chunks(F.col("text"), divisor)))
+    out = out.withColumn("__kept", F.filter("__parts", lambda c, k: ~F.array_contains("__gone", k)))
     count = lambda parts: F.aggregate(F.transform(parts, lambda c: c["n"]), F.lit(0), lambda a, b: a + b)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
-    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(count("__parts") - count("__kept"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
+    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(count("__parts") - count("__kept"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), n_lines.cast("long").alias("n_lines"), n_gone.cast("long").alias("n_lines_removed"))

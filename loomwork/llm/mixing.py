@@ -56,30 +56,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None
     favour = F.lit(1.0) if favour is None else F.coalesce(favour.cast("double"), F.lit(0.0))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keys = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("some_source")]
-    rows = cut(docs.select(F.col("doc_id").alias("doc"), *keys, size.alias("size"), u.alias("u"), favour.alias("favour")))
-    by = ["no_source", "some_source"]
-    sources = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("favour")).alias("favoured"))
-    sources = targets(sources.withColumn("source", F.when(~F.col("no_source"), F.col("some_source"))), weights, cap)
-    sources = cut(sources.select(*by, "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("rate")))
-    expected = F.least(F.col("rate") * F.col("favour"), F.lit(float(cap)))
-    ranked = rows.join(sources, by).withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
-    rank = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    ranked = ranked.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+    keys = [F.col("source").isNull().alias("__no_source"), F.coalesce("source", F.lit("")).alias("__some_source")]
+    rows = cut(docs.select(F.col("doc_id").alias("__doc"), *keys, size.alias("size"), u.alias("__u"), favour.alias("__favour")))
+    by = ["__no_source", "__some_source"]
+    sources = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__favour")).alias("favoured"))
+    sources = targets(sources.withColumn("source", F.when(~F.col("__no_source"), F.col("__some_source"))), weights, cap)
+    sources = cut(sources.select(*by, "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("__rate")))
+    expected = F.least(F.col("__rate") * F.col("__favour"), F.lit(float(cap)))
+    ranked = rows.join(sources, by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
+    rank = F.when(F.col("__p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p"))))
+    ranked = ranked.withColumn("__rank", rank).withColumn("__bin", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BINS))
     # Running sums in two steps: over at most BINS classes of each source, then inside the one class where the sum crosses.
-    bins = ranked.groupBy(*by, "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"))
+    bins = ranked.groupBy(*by, "__bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("__whole")).alias("sure"))
     each = Window.partitionBy(*by)
-    bins = bins.withColumn("left", F.sum("sure").over(each)).join(sources.select(*by, "target"), by).withColumn("left", F.col("target") - F.col("left")).where("bin is not null")
-    upto = F.sum("words").over(each.orderBy("bin"))
+    bins = bins.withColumn("left", F.sum("sure").over(each)).join(sources.select(*by, "target"), by).withColumn("left", F.col("target") - F.col("left")).where("__bin is not null")
+    upto = F.sum("words").over(each.orderBy("__bin"))
     bins = bins.withColumn("upto", upto)
-    crossing = bins.where("upto >= left").groupBy(*by).agg(F.min_by(F.struct("bin", F.col("left"), (F.col("upto") - F.col("words")).alias("under")), "bin").alias("c"))
-    edge = ranked.where("p > 0").join(crossing, by).where("bin = c.bin").select("doc", *by, "size", "rank", "c")
-    running = F.sum("size").over(Window.partitionBy(*by).orderBy("rank", "doc"))
-    edge = edge.withColumn("in_edge", F.col("c.under") + running - F.col("size") / 2 <= F.col("c.left")).where("in_edge").select("doc", *by, "in_edge").distinct()
-    level = sources.join(crossing.select(*by, F.col("c.bin").alias("edge_bin")), by, "left")
-    out = docs.withColumns({"no_source": F.col("source").isNull(), "some_source": F.coalesce("source", F.lit("")), "size": size, "u": u, "favour": favour})
-    out = out.join(level, by).withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
-    out = out.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
-    out = out.join(edge, (out.doc_id.eqNullSafe(edge.doc)) & (out.no_source == edge.no_source) & (out.some_source == edge.some_source), "left")
-    more = (F.col("p") > 0) & (F.col("bin") < F.coalesce("edge_bin", F.lit(BINS + 1))) | F.coalesce("in_edge", F.lit(False))
-    return out.select(*(docs[c] for c in docs.columns), "size", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"))
+    crossing = bins.where("upto >= left").groupBy(*by).agg(F.min_by(F.struct("__bin", F.col("left"), (F.col("upto") - F.col("words")).alias("under")), "__bin").alias("c"))
+    edge = ranked.where("__p > 0").join(crossing, by).where("__bin = c.__bin").select("__doc", *by, "size", "__rank", "c")
+    running = F.sum("size").over(Window.partitionBy(*by).orderBy("__rank", "__doc"))
+    edge = edge.withColumn("__in_edge", F.col("c.under") + running - F.col("size") / 2 <= F.col("c.left")).where("__in_edge").select("__doc", *by, "__in_edge").distinct()
+    level = sources.join(crossing.select(*by, F.col("c.__bin").alias("__edge_bin")), by, "left")
+    out = docs.withColumns({"__no_source": F.col("source").isNull(), "__some_source": F.coalesce("source", F.lit("")), "size": size, "__u": u, "__favour": favour})
+    out = out.join(level, by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
+    out = out.withColumn("__rank", rank).withColumn("__bin", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BINS))
+    out = out.join(edge, (out.doc_id.eqNullSafe(edge["__doc"])) & (out["__no_source"] == edge["__no_source"]) & (out["__some_source"] == edge["__some_source"]), "left")
+    more = (F.col("__p") > 0) & (F.col("__bin") < F.coalesce("__edge_bin", F.lit(BINS + 1))) | F.coalesce("__in_edge", F.lit(False))
+    return out.select(*(docs[c] for c in docs.columns), "size", "source_size", "target", (F.col("__whole") + more.cast("long")).alias("copies"))
