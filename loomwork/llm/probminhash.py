@@ -15,8 +15,10 @@ from .session import cut
 BANDS, ROWS = 25, 5
 #: Bits of a sort key that number the rows of a batch (a batch has 10,000 unless set otherwise).
 ROW_BITS = 20
-#: Rounds that test a bucket against one more hub before all its remaining pairs are tested.
-HUB_ROUNDS = 8
+#: Documents and shingles of one block; larger families are compared block by block.
+BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_500_000
+#: Cells of the matrices that a comparison holds at once.
+CELLS = 4_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,7 +119,7 @@ def sketches(width: int, bands: int, rows: int):
     return run
 
 
-def sets(width: int):
+def sets(width: int, kept=("doc_id", "family", "blocks", "block")):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = kernel.text_buffers(batch.column("text"))
@@ -125,7 +127,7 @@ def sets(width: int):
                 row, h, count = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 first = np.searchsorted(row, np.arange(j - i + 1))
                 pack = [h[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(pack, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), pa.array(pack, pa.binary())], [*kept, "set"])
 
     return run
 
@@ -135,15 +137,71 @@ def _unpack(blob) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob.as_buffer(), np.uint64, n), np.frombuffer(blob.as_buffer(), np.uint32, n, 8 * n).astype(np.float64)
 
 
-def verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                (a, p), (b, q) = _unpack(x), _unpack(y)
-                # The number of shared shingles already bounds what weights can give.
-                keep.append(similarity(a, p, b, q) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def block_links(ids: np.ndarray, sides: np.ndarray, packs: list, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all documents which links of the threshold or more join, as a forest.
+
+    Documents of one side are not compared if there are two sides. With p for
+    the weights of one set as shares of their sum, the similarity is at most
+    the p of the shared shingles; a matrix product gives that for all pairs.
+    If no shingle occurs twice, it also gives the similarity itself.
+    """
+    n = len(ids)
+    sizes = np.array([len(h) for h, _ in packs])
+    total = np.array([w.sum() for _, w in packs])
+    doc = np.repeat(np.arange(n), sizes)
+    _, place, times = np.unique(np.concatenate([h for h, _ in packs]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([w for _, w in packs])
+    order = np.argsort(place, kind="stable")
+    order = order[times[place[order]] > 1]
+    column = np.cumsum(np.diff(place[order], prepend=-1) != 0) - 1
+    shared = np.zeros((n, n), np.float64)
+    step = max(64, CELLS // n)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        part = slice(*np.searchsorted(column, [lo, lo + step]))
+        own, at = order[part], column[part] - lo
+        has = np.zeros((n, int(at.max()) + 1), np.float32)
+        share = np.zeros_like(has)
+        has[doc[own], at] = 1
+        share[doc[own], at] = weight[own]
+        shared += share @ has.T
+    bound = np.minimum(shared / total[:, None], (shared / total[:, None]).T)
+    a, b = np.nonzero(np.triu(bound >= threshold - 1e-6, 1))
+    if len(np.unique(sides)) > 1:
+        cross = sides[a] != sides[b]
+        a, b = a[cross], b[cross]
+    plain = total == sizes
+    exact = plain[a] & plain[b]
+    known = shared[a, b] / (sizes[a] + sizes[b] - shared[a, b])
+    keep = ~exact | (known >= threshold - 1e-9)
+    # Sure links first: they join most, and what is joined needs no other test.
+    a, b, exact = a[keep], b[keep], exact[keep]
+    parent = np.arange(n)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for k in np.argsort(~exact, kind="stable"):
+        x, y = find(a[k]), find(b[k])
+        if x != y and (exact[k] or similarity(*packs[a[k]], *packs[b[k]]) >= threshold):
+            parent[max(x, y)] = min(x, y)
+            out.append((int(ids[a[k]]), int(ids[b[k]])))
+    return out
+
+
+def links_of(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        family = np.asarray(table["family"])
+        order = np.argsort(family, kind="stable")
+        ids, sides = np.asarray(table["doc_id"]), np.asarray(table["block"])
+        sets = table["set"].combine_chunks() if table["set"].num_chunks != 1 else table["set"].chunk(0)
+        out = []
+        for own in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            own = own[np.argsort(ids[own])]
+            out += block_links(ids[own], sides[own], [_unpack(sets[int(k)]) for k in own], threshold)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -177,7 +235,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     threshold and one of 25 bands of 5 registers agrees (at 0.8, all but one
     pair in 20,000; documents of a class are usually joined by many). The
     class is the connected part, named by its smallest doc_id. Documents with
-    equal weighted shingles are folded first, so copies cost one row each.
+    equal weighted shingles are folded first, so copies cost one row each;
+    the rest is compared inside the families that bands join, in blocks of
+    bounded size, each document once against each block of its family.
     Null or wordless texts are in a class of their own; rows with one doc_id
     are one document; a null doc_id has the class null.
     """
@@ -189,34 +249,20 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     heads = named.join(first.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     spots = heads.select("doc_id", F.explode("bands").alias("spot")).distinct()
     hubs = spots.groupBy("spot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").drop("top")
-    spots = cut(spots.join(hubs, "spot").select("spot", "doc_id", "hub"))
-    some = spots.select("doc_id").distinct()
-    packed = cut(rows.join(some, "doc_id", "left_semi").mapInArrow(sets(width), "doc_id long, set binary"))
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        left, right = (packed.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify(threshold), "a long, b long")
-
-    links = cut(tested(spots.where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()))
-    for r in range(HUB_ROUNDS + 1):
-        parts = components(links)
-        # Pairs of one bucket that different classes hold are all that is left to test.
-        placed = spots.join(parts, spots.doc_id == parts.node, "left").select("spot", "doc_id", F.coalesce("least", "doc_id").alias("part"))
-        shares = placed.groupBy("spot", "part").agg(F.count("*").alias("n"))
-        mixed = shares.groupBy("spot").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same")
-        n, pairs = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("n * n - same")), F.lit(0))).first()
-        if not pairs:
-            break
-        rest = cut(placed.join(mixed.select("spot"), "spot"))
-        if pairs <= max(20_000, 16 * n) or r == HUB_ROUNDS:
-            a, b = (rest.select("spot", F.col("doc_id").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-            more = a.join(b, "spot").where("a > b and part_a != part_b").select("a", "b").distinct()
-            more = tested(more)
-            parts = components(links.union(more))
-            break
-        hub = rest.groupBy("spot").agg(F.min_by(F.struct("doc_id", "part"), F.xxhash64("doc_id", F.lit(r))).alias("h"))
-        more = rest.join(hub, "spot").where("part != h.part").select(F.col("doc_id").alias("a"), F.col("h.doc_id").alias("b")).distinct()
-        links = cut(links.union(tested(more)))
+    near = cut(spots.join(hubs, "spot").select("doc_id", "hub").distinct())
+    # A family is what shared bands join: no link leaves it.
+    families = components(near.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    near = near.select("doc_id").distinct().join(families, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("least", "doc_id").alias("family"))
+    near = near.join(heads.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    blocks = near.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    near = cut(near.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")))
+    packs = max(1, near.count() // BLOCK_DOCS)
+    packed = rows.join(near, "doc_id").mapInArrow(sets(width), "doc_id long, family long, blocks long, block long, set binary")
+    # Each pair of blocks of a family meets in one group; families of one block share groups.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    meets = packed.select("doc_id", "family", "blocks", "block", "set", other.alias("other"))
+    meets = meets.select("doc_id", "family", "block", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))).alias("meeting"))
+    parts = components(cut(meets.groupBy("meeting").applyInArrow(links_of(threshold), "a long, b long")))
     classes = folded.join(parts, folded["first"] == parts.node, "left").select("doc_id", F.coalesce("least", "first").alias("class_id"))
     # A doc_id that several rows have names one document.
     classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
