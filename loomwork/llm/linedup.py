@@ -40,8 +40,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """docs (doc_id, text, ...) without repeated multi-line chunks; adds n_lines and n_lines_removed.
 
     Of the chunks of two lines or more that are equal byte for byte anywhere,
-    the first stays: in the smallest doc_id, there the earliest. Chunks of
-    white space only stay. A null text stays null with no lines; a null doc_id
+    the first stays: in the smallest doc_id, there the earliest. Blank lines
+    are lines like others. A null text stays null with no lines; a null doc_id
     comes before all others. Equal rows are treated alike. Texts from which
     nothing is removed stay as they are. Columns named like the new ones are
     replaced.
@@ -53,7 +53,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     held = docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64("text").alias("__th"))
     rows = held.select("__id", "__th", F.col("text").alias("__text"))
     key = ["__id", "__th"]
-    pieces = rows.select(*key, F.posexplode(chunks(F.col("__text"), divisor)).alias("no", "c")).where((F.col("c.n") > 1) & (F.trim(F.col("c.text")) != "")).select(*key, "no", F.xxhash64("c.text").alias("h"))
+    pieces = rows.select(*key, F.posexplode(chunks(F.col("__text"), divisor)).alias("no", "c")).where("c.n > 1").select(*key, "no", F.xxhash64("c.text").alias("h"))
     shared = pieces.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     wanted = pieces.join(shared, "h").groupBy(*key).agg(F.collect_set("no").alias("wanted"))
     texts = rows.join(wanted, key).dropDuplicates(key).withColumn("__parts", chunks(F.col("__text"), divisor))

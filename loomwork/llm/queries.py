@@ -93,7 +93,7 @@ WITH lines AS (
   SELECT doc_id, k, e[k] - coalesce(e[k - 1], 0) AS n, array_to_string(l[coalesce(e[k - 1], 0) + 1 : e[k]], chr(10)) AS c
   FROM (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM ends)
 ), marked AS (
-  SELECT *, n > 1 AND trim(c) <> '' AND row_number() OVER (PARTITION BY c, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM chunks
+  SELECT *, n > 1 AND row_number() OVER (PARTITION BY c, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM chunks
 ), kept AS (
   SELECT doc_id, sum(n) AS n, sum(n) FILTER (gone) AS g, string_agg(c, chr(10) ORDER BY k) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id
 )

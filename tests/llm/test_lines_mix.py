@@ -32,7 +32,7 @@ def brute(rows):
         kept, gone = [], 0
         for k, c in enumerate(chunked(t)):
             text = "\n".join(c)
-            if len(c) > 1 and text.strip(" ") and seen.setdefault(text, (i, t, k)) != (i, t, k):
+            if len(c) > 1 and seen.setdefault(text, (i, t, k)) != (i, t, k):
                 gone += len(c)
             else:
                 kept.append(text)
