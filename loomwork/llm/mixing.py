@@ -10,6 +10,8 @@ from .session import cut
 #: A document is taken this often at most, and a source's target is this many times its size at most.
 CAP = 3
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Up to so many sources (some 100 bytes each) go to every task.
+FEW_SOURCES = 50_000
 #: Classes of rank that the running sums of a source are first taken over.
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,8 +64,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None
     sources = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__favour")).alias("favoured"))
     sources = targets(sources.withColumn("source", F.when(~F.col("__no_source"), F.col("__some_source"))), weights, cap)
     sources = cut(sources.select(*by, "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("__rate")))
+    # One row per source: sent to all tasks if there are few, so that no task gets a whole source.
+    spread = F.broadcast if sources.count() <= FEW_SOURCES else (lambda df: df)
     expected = F.least(F.col("__rate") * F.col("__favour"), F.lit(float(cap)))
-    ranked = rows.join(sources, by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
+    ranked = rows.join(spread(sources), by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
     rank = F.when(F.col("__p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p"))))
     ranked = ranked.withColumn("__rank", rank).withColumn("__bin", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BINS))
     # Running sums in two steps: over at most BINS classes of each source, then inside the one class where the sum crosses.
@@ -73,12 +77,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None
     upto = F.sum("words").over(each.orderBy("__bin"))
     bins = bins.withColumn("upto", upto)
     crossing = bins.where("upto >= left").groupBy(*by).agg(F.min_by(F.struct("__bin", F.col("left"), (F.col("upto") - F.col("words")).alias("under")), "__bin").alias("c"))
-    edge = ranked.where("__p > 0").join(crossing, by).where("__bin = c.__bin").select("__doc", *by, "size", "__rank", "c")
+    edge = ranked.where("__p > 0").join(spread(crossing), by).where("__bin = c.__bin").select("__doc", *by, "size", "__rank", "c")
     running = F.sum("size").over(Window.partitionBy(*by).orderBy("__rank", "__doc"))
     edge = edge.withColumn("__in_edge", F.col("c.under") + running - F.col("size") / 2 <= F.col("c.left")).where("__in_edge").select("__doc", *by, "__in_edge").distinct()
     level = sources.join(crossing.select(*by, F.col("c.__bin").alias("__edge_bin")), by, "left")
     out = docs.withColumns({"__no_source": F.col("source").isNull(), "__some_source": F.coalesce("source", F.lit("")), "size": size, "__u": u, "__favour": favour})
-    out = out.join(level, by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
+    out = out.join(spread(level), by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
     out = out.withColumn("__rank", rank).withColumn("__bin", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BINS))
     out = out.join(edge, (out.doc_id.eqNullSafe(edge["__doc"])) & (out["__no_source"] == edge["__no_source"]) & (out["__some_source"] == edge["__some_source"]), "left")
     more = (F.col("__p") > 0) & (F.col("__bin") < F.coalesce("__edge_bin", F.lit(BINS + 1))) | F.coalesce("__in_edge", F.lit(False))
