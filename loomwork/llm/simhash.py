@@ -7,31 +7,41 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import cut
+
 BITS = 128
 #: Words of a term: a run of five, or what there is of it at the start of a text.
 TERM = 5
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows per bucket of the order by doc_id, and quantiles that the buckets follow.
 BUCKET_ROWS, QUANTILES = 1024, 64
-#: Two counters of 32 bits each in one long.
-_LANES = 0x0000000100000001
+#: Eight counters of one byte in a long, for blocks of so many terms; then two of 32 bits.
+_BYTES, BLOCK_TERMS = 0x0101010101010101, 127
+_WHITE = " \t\n\x0b\x0c\r"
+
+
+def _block_votes(h: Column, hashes: int) -> list[Column]:
+    """Sums over up to 127 terms, so the sign is never reached: byte k of sum i counts the terms with bit 8k + i set."""
+    return [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(_BYTES))).alias(f"v{j}_{i}") for j, x in enumerate([h, *(F.when(h.isNotNull(), F.xxhash64(h, F.lit(j))) for j in range(1, hashes))]) for i in range(8)]
 
 
-def votes(h: Column, hashes: int) -> list[Column]:
-    """Sums over terms: counter i of hash j counts the terms with bit i, and bit i + 32, set."""
-    return [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(_LANES))).alias(f"v{j}_{i}") for j, x in enumerate([h, *(F.xxhash64(h, F.lit(j)) for j in range(1, hashes))]) for i in range(32)]
+def _votes(hashes: int) -> list[Column]:
+    """Sums over blocks: the low half of sum (i, k) counts bit 8k + i, the high half bit 8(k + 1) + i."""
+    byte = lambda c, k: F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(0xFF))
+    return [F.sum(F.shiftleft(byte(f"v{j}_{i}", k + 1), 32).bitwiseOR(byte(f"v{j}_{i}", k))).alias(f"w{j}_{i}_{k}") for j in range(hashes) for i in range(8) for k in (0, 2, 4, 6)]
 
 
-def signed(total: Column, hashes: int) -> Column:
+def _signed(total: Column, hashes: int) -> Column:
     """Hex digits of the fingerprint: a bit is set if more than half of all terms have it."""
     words = []
     for j in range(hashes):
-        low = high = F.lit(0).cast("long")
-        for i in range(32):
-            both = F.col(f"v{j}_{i}")
-            low = low + F.when(both.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > total, F.lit(1 << i)).otherwise(F.lit(0))
-            high = high + F.when(F.shiftrightunsigned(both, 32) * 2 > total, F.lit(1 << i)).otherwise(F.lit(0))
-        words += [high, low]
+        half = [F.lit(0).cast("long"), F.lit(0).cast("long")]
+        for i in range(8):
+            for k in (0, 2, 4, 6):
+                both = F.col(f"w{j}_{i}_{k}")
+                for count, bit in ((both.bitwiseAND(F.lit(0xFFFFFFFF)), 8 * k + i), (F.shiftrightunsigned(both, 32), 8 * (k + 1) + i)):
+                    half[bit // 32] = half[bit // 32] + F.when(count * 2 > total, F.lit(1 << bit % 32)).otherwise(F.lit(0))
+        words += [half[1], half[0]]
     return F.lower(F.concat(*(F.lpad(F.hex(x), 8, "0") for x in words)))
 
 
@@ -43,12 +53,14 @@ def fingerprints(rows: DataFrame, key: list[str], text: str, bits: int = BITS) -
     that are already partitioned by a column of the key are not shuffled.
     """
     hashes = bits // 64
-    words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    terms = rows.select(*key, words.alias("__words")).withColumn("__at", F.explode_outer(F.when(F.size("__words") > 0, F.sequence(F.lit(0), F.size("__words") - 1))))
+    plain = F.btrim(F.col(text), F.lit(_WHITE))
+    words = F.when(plain != "", F.split(plain, SPACES))
+    terms = rows.select(*key, words.alias("__words")).withColumn("__at", F.explode_outer(F.sequence(F.lit(0), F.size("__words") - 1)))
     h = F.xxhash64(*(F.get("__words", F.col("__at") - back) for back in reversed(range(TERM))))
-    sums = terms.select(*key, F.when(F.col("__at").isNotNull(), h).alias("__h")).groupBy(*key).agg(F.count("__h").alias("__n"), *votes(F.col("__h"), hashes))
-    filled = sums.fillna(0, [f"v{j}_{i}" for j in range(hashes) for i in range(32)])
-    return filled.select(*key, signed(F.col("__n"), hashes).alias("fingerprint"))
+    terms = terms.select(*key, F.floor(F.col("__at") / BLOCK_TERMS).alias("__block"), F.when(F.col("__at").isNotNull(), h).alias("__h"))
+    blocks = terms.groupBy(*key, "__block").agg(F.count("__h").alias("__n"), *_block_votes(F.col("__h"), hashes))
+    sums = blocks.fillna(0, [f"v{j}_{i}" for j in range(hashes) for i in range(8)]).groupBy(*key).agg(F.sum("__n").alias("__n"), *_votes(hashes))
+    return sums.select(*key, _signed(F.col("__n"), hashes).alias("fingerprint"))
 
 
 def _pieces(fingerprint: str, bits: int) -> list[Column]:
@@ -156,7 +168,8 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
     pairs = pairs.select("bucket", "rank", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = pairs.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x")).select(*kept, "x.which", "x.t")
-    prints = fingerprints(both, [*kept, "which"], "t", bits)
+    # Written once: the step that finds the next row reads its input twice.
+    prints = cut(fingerprints(both, [*kept, "which"], "t", bits))
     wide = prints.groupBy(*kept).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     out = following(wide, ["rank"], ["fingerprint"])
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", bits).alias("near_edited"), likeness("fingerprint", "next_fingerprint", bits).alias("near_next"))
