@@ -25,6 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +163,15 @@ def _blobs(column) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in column]) if len(column) else np.empty(0, np.uint64)
 
 
+def packed(flat: np.ndarray) -> bytes:
+    """Bytes of text shrink well; hashes of words don't and go as they are."""
+    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes()) if flat.dtype == np.uint8 else flat.tobytes()
+
+
+def unpacked(data, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if kind is np.uint8 else data, kind)
+
+
 def send_segments(by_word: bool, length: int, gram: int, n_buckets: int):
     kind = np.uint64 if by_word else np.uint8
 
@@ -214,7 +224,7 @@ def send_segments(by_word: bool, length: int, gram: int, n_buckets: int):
                 place[segs] = np.arange(len(segs))
                 out["bucket"].append(int(bucket[own[0]]))
                 out["g"].append(g)
-                out["content"].append(units.flat[kernel.spread(start[segs], size[segs])].astype(kind).tobytes())
+                out["content"].append(packed(units.flat[kernel.spread(start[segs], size[segs])].astype(kind)))
                 for name, x, t in (("lens", size[segs], np.uint16), ("docs", docs[segs], np.int64), ("occ_seg", place[head[occ]], np.uint32), ("occ_doc", row[occ], np.uint32), ("occ_start", at[occ], np.uint32), ("done_doc", row[gone], np.uint32), ("done_start", at[gone], np.uint32), ("done_end", at[gone] + size[gone], np.uint32)):
                     out[name].append(x.astype(t).tobytes())
         return pa.table({x: pa.array(out[x], pa.int32() if x in ("bucket", "g") else pa.binary()) for x in names})
@@ -256,7 +266,8 @@ def answer_segments(by_word: bool, length: int, gram: int, resolve: Callable):
     kind = np.uint64 if by_word else np.uint8
 
     def run(table: pa.Table) -> pa.Table:
-        parts = {name: [np.frombuffer(x.as_buffer(), t) for x in table[name]] for name, t in (("content", kind), ("lens", np.uint16), ("docs", np.int64))}
+        parts = {name: [np.frombuffer(x.as_buffer(), t) for x in table[name]] for name, t in (("lens", np.uint16), ("docs", np.int64))}
+        parts["content"] = [unpacked(x.as_buffer(), kind) for x in table["content"]]
         flat, lens, docs = (np.concatenate(parts[x]) for x in ("content", "lens", "docs"))
         lens = lens.astype(np.int64)
         head, copy = fold(flat, lens, docs)
