@@ -44,8 +44,9 @@ RANGES = "g int, doc binary, start binary, end binary"
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of df, from file sizes and plan shape."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate from file sizes; where there is none, or one beyond 1 PB, the size of all texts."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return told if told < 1 << 50 else int(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0])
 
 
 class Units:
