@@ -95,15 +95,27 @@ def templates(data: np.ndarray, offs: np.ndarray):
 
 
 def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int):
-    """Hash, place and row of each window that has enough literal tokens."""
-    shown = np.where(kind > 0, kernel.mix(kind), value)
-    gram = kernel.Prefix(shown).grams(width)
+    """Hash, place and row of each window that has enough literal tokens.
+
+    A window with names comes twice: with names as slots, and with names as
+    literal words, for copies in other letter case, where capitals tell no names.
+    """
     many = np.maximum(0, np.diff(first) - width + 1)
     at = kernel.spread(first[:-1], many)
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
-    enough = literal[at + width] - literal[at] >= min(LITERALS, width)
     row = np.repeat(np.arange(len(many)), many)
-    return gram[at[enough]], at[enough], row[enough]
+    nameless = np.where(kind == NAME, np.uint64(0), kind)
+
+    def count(flag: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(flag)])
+        return sums[at + width] - sums[at]
+
+    enough = min(LITERALS, width)
+    ways = [(kind, count(kind == 0) >= enough), (nameless, (count(kind == NAME) > 0) & (count(nameless == 0) >= enough))]
+    found = []
+    for slots, use in ways:
+        gram = kernel.Prefix(np.where(slots > 0, kernel.mix(slots), value)).grams(width)
+        found.append((gram[at[use]], at[use], row[use]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Items:
@@ -134,37 +146,46 @@ class Items:
             some = np.flatnonzero(known[np.minimum(a, len(known) - 1)] == h)
             a, b = a[some], np.searchsorted(known, h[some], "right")
             which, hit = kernel.spread(a, b - a) + lo, np.repeat(some, b - a)
-            found.append((row[hit], at[hit], self.row[which], self.at[which], np.full(len(hit), width)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 5
+            found.append((row[hit], at[hit], self.row[which], self.at[which]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
 
     def matches(self, kind: np.ndarray, value: np.ndarray, first: np.ndarray):
         """(row, item, tokens matched, slots, slots changed) for pairs with a long consistent match."""
-        row, at, item, there, width = self.hits(kind, value, first)
-        if not len(row):
-            return []
-        # Windows on one diagonal that overlap make one match.
-        order = np.lexsort((at, there - at, item, row))
-        row, at, item, there, width = (x[order] for x in (row, at, item, there, width))
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((there - at)[1:] != (there - at)[:-1]) | (at[1:] > at[:-1] + width[:-1])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(row)) - 1
+        row, at, item, there = self.hits(kind, value, first)
+        # Each diagonal with a hit, as far as both texts go.
+        row, item, off = np.unique(np.stack([row, item, there - at]), axis=1)
+        lo, hi = np.maximum(first[row], self.first[item] - off), np.minimum(first[row + 1], self.first[item + 1] - off)
+        whole = self.first[item + 1] - self.first[item]
         best: dict[tuple, tuple] = {}
-        for i, j in zip(begin, end, strict=True):
-            size = int(at[j] + width[j] - at[i])
-            whole = int(self.first[item[i] + 1] - self.first[item[i]])
-            if size < min(SPAN, whole):
-                continue
-            a, b = slice(at[i], at[i] + size), slice(there[i], there[i] + size)
-            slots = np.flatnonzero(kind[a] > 0)
-            pairs = {(int(t), int(x), int(y)) for t, x, y in zip(kind[a][slots], value[a][slots], self.value[b][slots], strict=True)}
-            if len({(t, x) for t, x, _ in pairs}) != len(pairs) or len({(t, y) for t, _, y in pairs}) != len(pairs):
-                continue
-            key = (int(row[i]), int(item[i]))
-            best[key] = max(best.get(key, ()), (size, len(slots), int((value[a][slots] != self.value[b][slots]).sum())))
+        for i in np.flatnonzero(hi - lo >= np.minimum(SPAN, whole)):
+            a, b = slice(lo[i], hi[i]), slice(lo[i] + off[i], hi[i] + off[i])
+            for found in _parts(kind[a], value[a], self.kind[b], self.value[b], min(WINDOW, int(whole[i])), min(SPAN, int(whole[i]))):
+                key = (int(row[i]), int(item[i]))
+                best[key] = max(best.get(key, ()), found)
         return [(*k, *v) for k, v in sorted(best.items())]
 
 
+def _parts(kind: np.ndarray, value: np.ndarray, item_kind: np.ndarray, item_value: np.ndarray, width: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(tokens, slots, slots changed) of the consistent matches of two equally long runs of tokens, document and item.
+
+    Tokens agree if they are equal or slots of one type; what is a slot is told
+    by the item. Windows of agreeing tokens with enough equal words that overlap make one match.
+    """
+    same = value == item_value
+    sums = np.zeros((2, len(same) + 1), np.int64)
+    np.cumsum([same | ((item_kind > 0) & (kind == item_kind)), same & ((item_kind == 0) | (item_kind == NAME))], axis=1, out=sums[:, 1:])
+    agree, equal = sums[:, width:] - sums[:, :-width]
+    at = np.flatnonzero((agree == width) & (equal >= min(LITERALS, width)))
+    for begin, end in zip(*kernel.runs(kernel.cover(len(same), at, at + width), np.array([0, len(same)])), strict=True):
+        if end - begin < least:
+            continue
+        slots = begin + np.flatnonzero(item_kind[begin:end] > 0)
+        pairs = {(int(t), int(x), int(y)) for t, x, y in zip(item_kind[slots], value[slots], item_value[slots], strict=True)}
+        if len({(t, x) for t, x, _ in pairs}) != len(pairs) or len({(t, y) for t, _, y in pairs}) != len(pairs):
+            continue
+        yield int(end - begin), len(slots), int((~same[slots]).sum())
+
+
 def _probe(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = make()
@@ -187,7 +208,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A passage is a run of windows of 8 tokens, 13 tokens long in all or the
     whole item if that is shorter (3 tokens at least), with equal templates
-    and consistent slots. Returns doc_id, item_id, n_matched (tokens of the
+    and consistent slots. Letter case is of no account to words that are equal,
+    be they names or not. Returns doc_id, item_id, n_matched (tokens of the
     longest), n_slots in it and n_changed of these. Null texts match nothing;
     repeated rows give repeated pairs of which one is returned; null ids are
     returned as they are.

@@ -55,6 +55,18 @@ def test_leaks(spark, make_docs, monkeypatch, limit):
     assert clean == {r[0] for r in [*leaky(), *ODD]} - {p[0] for p in pairs}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.PROBE_CHARACTERS, 0], ids=["probed", "joined"])
+def test_leaks_in_other_letter_case(spark, make_docs, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "PROBE_CHARACTERS", limit)
+    text = ITEMS[0][1]
+    changed = text.replace("12", "7").replace("45", "9")
+    docs = make_docs([leaky()[7], (21, text.lower()), (22, text.title()), (23, changed.upper()), (24, changed.replace("Alice", "Carol").title()), (25, " ".join(words(30, 5).split()).upper())])
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_slots, r.n_changed) for r in decontaminate.leaks(docs, bench(spark, [*ITEMS, (6, ITEMS[0][1].upper())])).collect()}
+    assert {k: v for k, v in got.items() if k[1] == 1} == {(17, 1): (27, 8, 0), (21, 1): (27, 8, 0), (22, 1): (27, 8, 0), (23, 1): (27, 8, 2), (24, 1): (27, 8, 4)}
+    assert {17, 21, 22, 23} <= {d for d, i in got if i == 6}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench(spark)).collect()} == {25}
+
+
 def test_nothing_to_find(spark, make_docs):
     assert decontaminate.leaks(make_docs([]), bench(spark)).collect() == []
     assert decontaminate.leaks(make_docs(leaky()), bench(spark, [])).collect() == []
