@@ -3,7 +3,9 @@
 A template replaces what a re-parameterised question changes (numbers, names,
 units) by typed placeholders. Windows of templates are joined by hash; the
 slots then have to be consistent: within a match a benchmark value always
-stands for one document value and the other way round.
+stands for one document value. Different benchmark values may become the same
+document value. Where slots contradict each other, each consistent part is a
+match of its own.
 """
 
 from __future__ import annotations
@@ -177,13 +179,20 @@ def _parts(kind: np.ndarray, value: np.ndarray, item_kind: np.ndarray, item_valu
     agree, equal = sums[:, width:] - sums[:, :-width]
     at = np.flatnonzero((agree == width) & (equal >= min(LITERALS, width)))
     for begin, end in zip(*kernel.runs(kernel.cover(len(same), at, at + width), np.array([0, len(same)])), strict=True):
-        if end - begin < least:
-            continue
+        # A part ends before the slot that gives an item's value another value than before, and the next begins behind the earlier one.
         slots = begin + np.flatnonzero(item_kind[begin:end] > 0)
-        pairs = {(int(t), int(x), int(y)) for t, x, y in zip(item_kind[slots], value[slots], item_value[slots], strict=True)}
-        if len({(t, x) for t, x, _ in pairs}) != len(pairs) or len({(t, y) for t, _, y in pairs}) != len(pairs):
-            continue
-        yield int(end - begin), len(slots), int((~same[slots]).sum())
+        seen: dict[tuple, tuple] = {}
+        left, parts = begin, []
+        for p, t, x, y in zip(slots.tolist(), item_kind[slots].tolist(), item_value[slots].tolist(), value[slots].tolist(), strict=True):
+            before, where = seen.get((t, x), (y, p))
+            seen[t, x] = y, p
+            if before != y and where >= left:
+                parts.append((left, p))
+                left = where + 1
+        for left, right in [*parts, (left, end)]:
+            if right - left >= least:
+                inside = slots[(slots >= left) & (slots < right)]
+                yield int(right - left), len(inside), int((~same[inside]).sum())
 
 
 def _probe(make):
@@ -209,7 +218,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A passage is a run of windows of 8 tokens, 13 tokens long in all or the
     whole item if that is shorter (3 tokens at least), with equal templates
     and consistent slots. Letter case is of no account to words that are equal,
-    be they names or not. Returns doc_id, item_id, n_matched (tokens of the
+    be they names or not. A passage with a slot that contradicts another is cut
+    into its longest consistent parts, of which each has to be as long as that. Returns doc_id, item_id, n_matched (tokens of the
     longest), n_slots in it and n_changed of these. Null texts match nothing;
     repeated rows give repeated pairs of which one is returned; null ids are
     returned as they are.

@@ -67,6 +67,24 @@ def test_leaks_in_other_letter_case(spark, make_docs, monkeypatch, limit):
     assert {r.doc_id for r in decontaminate.clean(docs, bench(spark)).collect()} == {25}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.PROBE_CHARACTERS, 0], ids=["probed", "joined"])
+def test_leaks_with_contradicting_slots(spark, make_docs, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "PROBE_CHARACTERS", limit)
+    text = ITEMS[0][1]
+    long = f"{words(30, 50)} then 5 of {words(30, 51)} and 5 of {words(6, 52)}"
+    short = "Take 5 of them or 5 of us"
+    docs = make_docs([
+        leaky()[2],  # the 23 tokens behind the first Alice are consistent
+        (31, text.replace("12", "4").replace("30", "4").replace("45", "4")),  # different values become one
+        (32, long.replace("then 5", "then 6")),  # 64 tokens before the second 5, 40 behind the first
+        (33, short.replace("or 5", "or 6")),  # parts are shorter than the item
+        (34, text.replace("Alice sells", "Carol sells").replace("more boxes from her neighbour", "more bags of their friend")),
+    ])
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_slots, r.n_changed) for r in decontaminate.leaks(docs, bench(spark, [*ITEMS, (6, long), (7, short)])).collect()}
+    assert got == {(12, 1): (23, 7, 0), (31, 1): (27, 8, 3), (32, 6): (64, 1, 1)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench(spark, [*ITEMS, (6, long), (7, short)])).collect()} == {33, 34}
+
+
 def test_nothing_to_find(spark, make_docs):
     assert decontaminate.leaks(make_docs([]), bench(spark)).collect() == []
     assert decontaminate.leaks(make_docs(leaky()), bench(spark, [])).collect() == []
