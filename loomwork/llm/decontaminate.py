@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-#: Tokens of a window, literal ones it needs, and tokens a match must span (or the whole item, if shorter).
+#: Tokens of a window, literal ones it needs unless all its tokens are equal, and tokens a match must span (or the whole item, if shorter).
 WINDOW, LITERALS, SPAN = 8, 4, 13
 #: A benchmark of at most so many characters (about 10 times as many bytes in memory) is probed by each task; beyond it windows are joined.
 PROBE_CHARACTERS = 1 << 21
@@ -97,10 +97,12 @@ def templates(data: np.ndarray, offs: np.ndarray):
 
 
 def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int):
-    """Hash, place and row of each window that has enough literal tokens.
+    """Hash, place and row of each window, once for each way to read its slots.
 
-    A window with names comes twice: with names as slots, and with names as
-    literal words, for copies in other letter case, where capitals tell no names.
+    All slots open, and names as literal words (for copies in other letter case,
+    where capitals tell no names), if enough tokens are literal then; and with
+    the values of all slots, however many they are. Ways that say the same of a
+    window come once.
     """
     many = np.maximum(0, np.diff(first) - width + 1)
     at = kernel.spread(first[:-1], many)
@@ -112,7 +114,7 @@ def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int):
         return sums[at + width] - sums[at]
 
     enough = min(LITERALS, width)
-    ways = [(kind, count(kind == 0) >= enough), (nameless, (count(kind == NAME) > 0) & (count(nameless == 0) >= enough))]
+    ways = [(kind, count(kind == 0) >= enough), (nameless, (count(kind == NAME) > 0) & (count(nameless == 0) >= enough)), (np.zeros_like(kind), count(nameless > 0) > 0)]
     found = []
     for slots, use in ways:
         gram = kernel.Prefix(np.where(slots > 0, kernel.mix(slots), value)).grams(width)
@@ -171,13 +173,14 @@ def _parts(kind: np.ndarray, value: np.ndarray, item_kind: np.ndarray, item_valu
     """(tokens, slots, slots changed) of the consistent matches of two equally long runs of tokens, document and item.
 
     Tokens agree if they are equal or slots of one type; what is a slot is told
-    by the item. Windows of agreeing tokens with enough equal words that overlap make one match.
+    by the item. Windows of agreeing tokens that overlap make one match, if
+    enough words of each are equal or all its tokens.
     """
     same = value == item_value
-    sums = np.zeros((2, len(same) + 1), np.int64)
-    np.cumsum([same | ((item_kind > 0) & (kind == item_kind)), same & ((item_kind == 0) | (item_kind == NAME))], axis=1, out=sums[:, 1:])
-    agree, equal = sums[:, width:] - sums[:, :-width]
-    at = np.flatnonzero((agree == width) & (equal >= min(LITERALS, width)))
+    sums = np.zeros((3, len(same) + 1), np.int64)
+    np.cumsum([same | ((item_kind > 0) & (kind == item_kind)), same & ((item_kind == 0) | (item_kind == NAME)), same], axis=1, out=sums[:, 1:])
+    agree, words, equal = sums[:, width:] - sums[:, :-width]
+    at = np.flatnonzero((agree == width) & ((words >= min(LITERALS, width)) | (equal == width)))
     for begin, end in zip(*kernel.runs(kernel.cover(len(same), at, at + width), np.array([0, len(same)])), strict=True):
         # A part ends before the slot that gives an item's value another value than before, and the next begins behind the earlier one.
         slots = begin + np.flatnonzero(item_kind[begin:end] > 0)
@@ -218,7 +221,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A passage is a run of windows of 8 tokens, 13 tokens long in all or the
     whole item if that is shorter (3 tokens at least), with equal templates
     and consistent slots. Letter case is of no account to words that are equal,
-    be they names or not. A passage with a slot that contradicts another is cut
+    be they names or not. A window needs 4 literal words (all, if it has fewer
+    than 4 tokens) or equal values in all slots: passages of little else than
+    numbers, names and units are found as copies, not re-parameterised. A
+    passage with a slot that contradicts another is cut
     into its longest consistent parts, of which each has to be as long as that. Returns doc_id, item_id, n_matched (tokens of the
     longest), n_slots in it and n_changed of these. Null texts match nothing;
     repeated rows give repeated pairs of which one is returned; null ids are

@@ -85,6 +85,17 @@ def test_leaks_with_contradicting_slots(spark, make_docs, monkeypatch, limit):
     assert {r.doc_id for r in decontaminate.clean(docs, bench(spark, [*ITEMS, (6, long), (7, short)])).collect()} == {33, 34}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.PROBE_CHARACTERS, 0], ids=["probed", "joined"])
+def test_leaks_of_little_else_than_slots(spark, make_docs, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "PROBE_CHARACTERS", limit)
+    items = [(1, "What is 12 + 45?"), (2, "3 km 5 m 7 cm"), (3, "Sort 17, 4, 99, 23, 8, 61, 12, 5, 70, 31, 2, 48, 55, 16 now"), (4, "the guests Anna Bert Carl Dora Emil Fred Gina Hans Ines Jörg Karl Lena Mark")]
+    pad = lambda t: f"{words(20, 60)}. {t} {words(20, 61)}"
+    docs = make_docs([*((k, pad(t)) for k, t in items), (11, pad("WHAT IS 12 + 45?")), (12, pad("What is 13 + 45?")), (13, pad(items[2][1].replace("12", "13"))), (14, pad("THE GUESTS" + items[3][1][10:].upper())), (15, pad("17, 4, 99, 23, 8, 61, 12, 5, 70"))])
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_slots, r.n_changed) for r in decontaminate.leaks(docs, bench(spark, items)).collect()}
+    assert got == {(1, 1): (4, 2, 0), (11, 1): (4, 2, 0), (2, 2): (6, 6, 0), (3, 3): (16, 14, 0), (4, 4): (15, 13, 0), (14, 4): (15, 13, 0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench(spark, items)).collect()} == {12, 13, 15}
+
+
 def test_nothing_to_find(spark, make_docs):
     assert decontaminate.leaks(make_docs([]), bench(spark)).collect() == []
     assert decontaminate.leaks(make_docs(leaky()), bench(spark, [])).collect() == []
