@@ -165,14 +165,16 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     Each batch of pages is laid out as an ARC file, version 1 or 2 by turns,
     parsed again and converted. Of pages with equal payloads of at least
     REVISIT_BYTES bytes the one with the largest page_id is stored; the others
-    become revisits. Null html is an empty payload, a null url `-`.
+    become revisits. Null html is an empty payload, a null url `-`. Each row
+    makes one record, told by its own payload where page_ids repeat; equal
+    payloads under the largest page_id are all stored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    payload = F.encode("html", "utf-8")
-    keys = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "url", F.unhex(F.sha1(payload)).alias("digest"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.unhex(F.sha1(F.encode("html", "utf-8")))))
+    keys = rows.where("digest is not null").select("page_id", "url", "digest")
     kept = keys.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    revisits = keys.join(kept, "digest").where("page_id < kept.page_id").select("page_id", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url")).distinct()
-    rows = rows.join(revisits, "page_id", "left")
+    revisits = keys.join(kept, "digest").where("page_id < kept.page_id").select("page_id", "digest", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url")).distinct()
+    rows = rows.join(revisits, ["page_id", "digest"], "left").drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):

@@ -142,3 +142,15 @@ def test_archives(spark, tmp_path):
     assert len({r.record_id for r in got}) >= 8
     empty = pages.where("false")
     warc.write_archives(empty, str(tmp_path / "e"))
+
+
+def test_archives_of_repeated_page_ids(spark, tmp_path):
+    a, b, c = ("abc"[k] * 1500 for k in range(3))
+    rows = [(1, "http://x/1", a), (1, "http://x/2", b), (1, "http://x/3", c), (1, "http://x/1", a), (8, "http://x/8", a), (9, "http://x/9", b), (9, "http://x/8", b), (None, "http://x/n", a)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    sha1 = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    got = [(r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()]
+    refers = {(1, a): 8, (1, b): 9}
+    want = [(i, u, sha1(t), "revisit" if (i, t) in refers else "response", refers.get((i, t))) for i, u, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
