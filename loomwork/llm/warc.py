@@ -96,9 +96,9 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
     return (content, b"") if found is None else (content[: found.end()], content[found.end() :])
 
 
-def record_id(url: str, date: str, digest: str) -> str:
-    """The same record of the same archive gets the same identifier in every run."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest}')}>"
+def record_id(url: str, date: str, digest: str, page: str = "") -> str:
+    """The same record of the same archive gets the same identifier in every run; page tells captures of one URL, date and payload apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {page}'.rstrip(' '))}>"
 
 
 def timestamp(date: str) -> str:
@@ -108,12 +108,13 @@ def timestamp(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def convert(arc: ArcRecord, refers: tuple[str, str, str] | None = None, extra: dict[str, str] | None = None) -> bytes:
+def convert(arc: ArcRecord, refers: tuple[str, str, str] | None = None, extra: dict[str, str] | None = None, page: str = "") -> bytes:
     """The WARC record of an ARC record, without the two line ends that close it.
 
     HTTP captures become response records, or revisit records with the head
     only if `refers` names the record (identifier, URL, date) that has the
-    same payload; anything else becomes a resource record.
+    same payload; anything else becomes a resource record. `page` goes into
+    the record's identifier.
     """
     head, payload = split_http(arc.content)
     digest = hashlib.sha1(payload).digest()
@@ -121,7 +122,7 @@ def convert(arc: ArcRecord, refers: tuple[str, str, str] | None = None, extra: d
     block = head if refers else arc.content
     fields = {
         "WARC-Type": "revisit" if refers else "response" if head else "resource",
-        "WARC-Record-ID": record_id(url, date, digest.hex()),
+        "WARC-Record-ID": record_id(url, date, digest.hex(), page),
         "WARC-Date": date,
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(digest).decode(),
@@ -155,7 +156,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _arc_of(page_id, url: str, html: bytes) -> tuple[dict[str, str], bytes]:
-    """A capture of a page: the page's number stands in the date, so records of one URL differ."""
+    """A capture of a page: the page's number stands in the head, the date is the same for all."""
     return {"URL": url, "IP-address": "0.0.0.0", "Archive-date": "20000101000000", "Content-type": "text/html"}, b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page: " + str(page_id).encode() + b"\r\n\r\n" + html
 
 
@@ -167,7 +168,8 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     REVISIT_BYTES bytes the one with the largest page_id is stored; the others
     become revisits. Null html is an empty payload, a null url `-`. Each row
     makes one record, told by its own payload where page_ids repeat; equal
-    payloads under the largest page_id are all stored.
+    payloads under the largest page_id are all stored. Identifiers of records
+    differ unless page_id, url and payload are equal.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.unhex(F.sha1(F.encode("html", "utf-8")))))
@@ -192,9 +194,9 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                         digest = hashlib.sha1(split_http(arc.content)[1]).hexdigest()
                         date = timestamp(fields["Archive-date"])
                         url = re.sub(r"\s", "%20", fields["URL"]) or "-"
-                        refers = (record_id(url, date, digest), url, date)
+                        refers = (record_id(url, date, digest, str(kept_ids[i].as_py())), url, date)
                         extra["WARC-Refers-To-Page-ID"] = str(kept_ids[i].as_py())
-                    out.append(convert(arc, refers, extra))
+                    out.append(convert(arc, refers, extra, str(page)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string(), safe=False)], ["value"])
 
     # A line end of two CRLF makes the text writer's file the plain sequence of records.

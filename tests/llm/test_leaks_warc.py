@@ -154,3 +154,14 @@ def test_archives_of_repeated_page_ids(spark, tmp_path):
     refers = {(1, a): 8, (1, b): 9}
     want = [(i, u, sha1(t), "revisit" if (i, t) in refers else "response", refers.get((i, t))) for i, u, t in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_identifiers_of_records(spark, tmp_path):
+    import gzip
+
+    big = "x" * 1500
+    rows = [(1, "http://x/1", big), (2, "http://x/1", big), (3, "http://x/1", big), (4, "http://x/4", "small"), (5, "http://x/4", "small"), (6, "http://x/6 y", None), (7, "http://x/6 y", None)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    got = {f["warc-page-id"]: f for p in (tmp_path / "w").glob("*.gz") for f, _ in warc.read_warc(gzip.decompress(p.read_bytes()))}
+    assert sorted(got) == list("1234567") and len({f["warc-record-id"] for f in got.values()}) == 7
+    assert {k: f["warc-refers-to"] for k, f in got.items() if f["warc-type"] == "revisit"} == dict.fromkeys("12", got["3"]["warc-record-id"])
