@@ -15,8 +15,10 @@ LEVEL = 3
 #: Documents with this score or more are kept.
 KEEP = 0.3
 DICTIONARY_BYTES = 112_640
-#: Labelled documents of each class that the model is fitted on at most, and bytes of each that it reads then.
+#: Labelled documents of each class that the model is fitted on at most, and bytes of each that dictionaries are made from.
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 8000
+#: Longer texts give so many pieces to the dictionaries, spread evenly from the first byte to the last.
+PIECES = 8
 
 
 @dataclass
@@ -56,6 +58,34 @@ class Sizes:
         return np.stack([np.ones(len(n)), d, np.minimum(good, bad) / length, bare / length, np.log1p(n), d * np.log1p(n), (bare / length) * np.log1p(n), (bare / length) ** 2, d**2], axis=1)
 
 
+def _pieces(text: bytes) -> bytes:
+    """The text, or SAMPLE_BYTES bytes of it in PIECES pieces."""
+    if len(text) <= SAMPLE_BYTES:
+        return text
+    size = SAMPLE_BYTES // PIECES
+    return b"".join(text[at : at + size] for at in ((len(text) - size) * k // (PIECES - 1) for k in range(PIECES)))
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut = pa.array([_pieces(x.as_buffer().to_pybytes()) for x in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], cut], batch.schema.names)
+
+
+def _measure(make):
+    """Rows (doc_id, quality, h, x): the features of whole texts under the dictionaries of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionaries, half = make()
+        sizes = [Sizes(*d) for d in dictionaries]
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            x = [sizes[1 - half[key]].features([text.as_buffer()])[0].tolist() for key, text in zip(keys, batch.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "h", "x"])
+
+    return run
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -74,26 +104,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     Dictionaries are built from one half of the sample and weights from the
     other, then the other way round, so that sizes to calibrate on come from
     texts no dictionary has seen; the final dictionaries use the whole sample.
+    Of a text longer than SAMPLE_BYTES the dictionaries are given pieces from
+    all over it; weights are fitted on whole texts, whose features are computed
+    on the executors. Equal rows are in one half.
     """
     pick = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     ids = pick.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).unionAll(pick.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
     n_good, n_bad = (pick.where(f"quality = {q}").count() for q in (1, 0))
     base = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = texts.where("text != ''").select("doc_id", "quality", F.substring(F.encode("text", "utf-8"), 1, SAMPLE_BYTES).alias("text")).collect()
-    rows = sorted((r.doc_id, r.quality, bytes(r.text)) for r in rows)
-    if len({q for _, q, _ in rows}) < 2 or len(rows) < 8:
+    texts = texts.where("text != ''").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
+    key = "doc_id long, quality int, h long"
+    rows = sorted((r.doc_id, r.quality, r.h, bytes(r.text)) for r in texts.mapInArrow(_shorten, f"{key}, text binary").collect())
+    if len({q for _, q, _, _ in rows}) < 2 or len(rows) < 8:
         return Model(b"", b"", np.zeros(0), base)
-    by = {q: [t for _, k, t in rows if k == q] for q in (0, 1)}
-    x, y = [], []
-    for part in (0, 1):
-        sizes = Sizes(_dictionary(by[1][part::2]), _dictionary(by[0][part::2]))
-        for q in (0, 1):
-            other = by[q][1 - part :: 2]
-            if other:
-                x.append(sizes.features(other))
-                y.append(np.full(len(other), float(q)))
-    x, y = np.concatenate(x), np.concatenate(y)
+    half: dict[tuple, int] = {}
+    for q in (0, 1):
+        half |= {k: n % 2 for n, k in enumerate(sorted({r[:3] for r in rows if r[1] == q}))}
+    by = {q: [t for _, k, _, t in rows if k == q] for q in (0, 1)}
+    dictionaries = [tuple(_dictionary([r[3] for r in rows if r[1] == q and half[r[:3]] == part]) for q in (1, 0)) for part in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast((dictionaries, half))
+    measured = sorted((r.doc_id, r.quality, r.h, r.x) for r in texts.mapInArrow(_measure(lambda: shared.value), f"{key}, x array<double>").collect())
+    x, y = np.array([r[3] for r in measured]), np.array([float(r[1]) for r in measured])
     weights = _logistic(x, y)
     # The sample has other shares than the labels: move the intercept to theirs.
     share = y.mean()

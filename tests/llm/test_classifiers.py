@@ -99,3 +99,25 @@ def test_quality_of_odd_texts(spark, make_docs):
     assert {r.score for r in quality.score(make_docs(ODD), alone).collect()} == {1.0}
     none = quality.train(make_docs([]), spark.createDataFrame([], schema))
     assert {r.score for r in quality.score(make_docs(ODD), none).collect()} == {0.5} and quality.score(make_docs([]), none).collect() == []
+
+
+def test_quality_is_fitted_on_whole_texts(spark, make_docs):
+    """Long texts that are alike up to SAMPLE_BYTES and beyond it good or bad."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(120):
+        tail = text_in("aa", rng, 1500) if i % 3 else " ".join(w + "%%%" for w in text_in("aa", rng, 1000).split())
+        rows.append((i, text_in("bb", rng, 2500)[: quality.SAMPLE_BYTES] + " " + tail))
+        labels.append((i, int(i % 3 > 0), 0))
+    docs, marks = make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(docs, marks.where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all((got[i] >= quality.KEEP) == bool(q) for i, q, _ in labels if i % 2)
+    assert b"%%%" in model.bad
+
+
+def test_pieces():
+    text = bytes(range(256)) * 100
+    assert quality._pieces(text[:8000]) == text[:8000]
+    cut = quality._pieces(text)
+    assert len(cut) == quality.SAMPLE_BYTES and cut[:1000] == text[:1000] and cut[-1000:] == text[-1000:]
