@@ -6,6 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
@@ -26,12 +27,10 @@ def spark():
     session.stop()
 
 
-USERS = [(1, "Alice", 30, "Paris", 45000), (2, "Bruno", 25, "Lyon", 38000), (3, "Charlie", 17, "Paris", 12000), (4, "Dalia", 41, "Marseille", 72000), (5, "Eve", 28, "Lyon", 51000), (6, "Farid", 35, "Paris", 64000), (7, "Grace", 52, "Marseille", 80000), (8, "Hugo", 20, "Lyon", 29000), (9, "Iris", 33, "Paris", 47000), (10, "Jack", 16, "Marseille", 9000)]
-USER_COLUMNS = [("id", "INTEGER"), ("nom", "STRING"), ("age", "INTEGER"), ("ville", "STRING"), ("salaire", "INTEGER")]
-
-
 @pytest.fixture(scope="session")
 def users_csv(tmp_path_factory):
+    from cases import USER_COLUMNS, USERS
+
     path = tmp_path_factory.mktemp("users") / "users.csv"
     path.write_text("\n".join([",".join(n for n, _ in USER_COLUMNS), *(",".join(map(str, r)) for r in USERS)]) + "\n")
     return str(path)
@@ -39,6 +38,8 @@ def users_csv(tmp_path_factory):
 
 @pytest.fixture()
 def engine(spark, users_csv):
+    from cases import USER_COLUMNS
+
     from loomwork.engine import Engine
 
     engine = Engine(spark)

@@ -9,7 +9,7 @@ import urllib.request
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from conftest import USER_COLUMNS, USERS
+from cases import USER_COLUMNS, USERS
 
 from loomwork import benchmarks, http
 from loomwork.engine import Engine
