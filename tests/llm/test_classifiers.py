@@ -2,7 +2,7 @@
 
 import random
 
-from llmcases import ODD
+from llmcases import ODD, make_docs  # noqa: F401
 
 from loomwork.llm import langid, quality
 

@@ -5,7 +5,7 @@ import random
 
 import duckdb
 import pytest
-from llmcases import ODD, words
+from llmcases import ODD, make_docs, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from loomwork.llm import linedup, mixing, queries

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llmcases import ODD, words
+from llmcases import ODD, make_docs, words  # noqa: F401
 
 from loomwork.llm import probminhash, simhash
 

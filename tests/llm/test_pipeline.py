@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from llmcases import words
+from llmcases import make_docs, words  # noqa: F401
 
 
 def corpus():
