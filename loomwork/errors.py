@@ -21,3 +21,7 @@ class InvalidQueryError(EngineError):
 
 class LoadError(EngineError):
     status = 400
+
+
+class TooLargeError(EngineError):
+    status = 413

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import name
 from ..plans.compiler import filtered, projected
+from ..session import cut
 from ..types import Profile
 
 
@@ -17,6 +18,11 @@ def scan_count(df: DataFrame, select=None, where: str | None = None, profile: Pr
     return rows.agg(F.count("*").alias("n"), checksum.alias("checksum"))
 
 
+def scanned(df: DataFrame, select=None, where: str | None = None, profile: Profile = Profile.STRICT) -> DataFrame:
+    """The count alone, as `n`. It depends on the checksum, so no column of the scan can be pruned."""
+    return scan_count(df, select, where, profile).where("checksum is not null or n = 0").select("n")
+
+
 def renamed(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Display names for result labels; labels without one stay."""
     return df.select([name(c).alias(aliases.get(c, c)) for c in df.columns])
@@ -26,5 +32,19 @@ def append(table: DataFrame, more: DataFrame) -> DataFrame:
     return table.unionByName(more)
 
 
-def describe(df: DataFrame) -> dict:
-    return {"columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields], "rowCount": df.count()}
+def placed(df: DataFrame, label: str = "place") -> DataFrame:
+    """df, which has an order, with the place of each row in it, 1 and up.
+
+    The ordered rows are written once, so that the count of each partition and
+    the rows agree; the driver gets one count per partition.
+    """
+    rows = cut(df.withColumn("__at", F.monotonically_increasing_id()))
+    counts = sorted(rows.groupBy(F.shiftright("__at", 33).alias("part")).count().collect())
+    before, at = [], 1
+    for part, n in counts:
+        before.append((part, at))
+        at += n
+    shift = df.sparkSession.createDataFrame(before, "__part long, __before long")
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.join(F.broadcast(shift), F.shiftright("__at", 33) == F.col("__part"))
+    return rows.select([name(c) for c in df.columns] + [(F.col("__before") + inside).alias(label)])

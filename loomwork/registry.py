@@ -6,16 +6,16 @@ their last bits depend on the order of summation.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import benchmarks
 from .functions.dialect import name
-from .operators.scan import append, renamed, scan_count
+from .operators.scan import append, placed, renamed, scanned
 from .plans.compiler import compile_request
 from .plans.request import QueryRequest
+from .session import shared_folder
 from .sources import csv, parquet
 from .types import Column, Profile
 
@@ -31,11 +31,14 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select([(F.round(name(f.name), 4) if isinstance(f.dataType, T.DoubleType) else name(f.name)).alias(f.name) for f in df.schema.fields])
 
 
-def request(key: str, sql: str | None, table: str, select=None, where=None, group_by=(), order_by=None, direction="ASC", limit=None, aliases=None, profile=Profile.STRICT):
+def request(key: str, sql: str | None, table: str, select=None, where=None, group_by=(), order_by=None, direction="ASC", limit=None, aliases=None, profile=Profile.STRICT, place=False):
+    """A request on a table as a query; with `place`, the order of its rows is a column of the result."""
     asked = QueryRequest(table, select, where, group_by, order_by, direction, limit)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = compile_request(_read(spark, sf_dir, table), asked, profile)
+        if place:
+            df = placed(df)
         return renamed(_rounded(df) if group_by else df, aliases or {})
 
     QUERIES[key] = run
@@ -95,8 +98,8 @@ request("group_multi_key", "SELECT l_returnflag, l_linestatus, count(*) AS n, ro
 request("group_all_aggregates", "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 4) AS s, round(avg(l_quantity), 4) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1", "lineitem", ["COUNT(*)", "SUM(l_quantity)", "AVG(l_quantity)", "MIN(l_quantity)", "MAX(l_quantity)"], group_by=["l_suppkey"], aliases={"COUNT(*)": "n", "SUM(l_quantity)": "s", "AVG(l_quantity)": "a", "MIN(l_quantity)": "lo", "MAX(l_quantity)": "hi"})
 request("group_keys_only", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", "lineitem", ["l_tax"], group_by=["l_returnflag", "l_linestatus"])
 request("group_where", "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1", "lineitem", ["COUNT(*)"], "l_discount >= 0.05", ["l_suppkey"], aliases={"COUNT(*)": "n"})
-request("group_order", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC", "orders", ["COUNT(*)"], group_by=["o_orderpriority"], order_by="COUNT(*)", direction="DESC", aliases={"COUNT(*)": "n"})
-request("group_order_limit", "SELECT l_suppkey, round(sum(l_extendedprice), 4) AS revenue FROM lineitem GROUP BY 1 ORDER BY sum(l_extendedprice) DESC NULLS FIRST LIMIT 10", "lineitem", ["SUM(l_extendedprice)"], group_by=["l_suppkey"], order_by="SUM(l_extendedprice)", direction="desc", limit=10, aliases={"SUM(l_extendedprice)": "revenue"})
+request("group_order", "SELECT o_orderpriority, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC) AS place FROM orders GROUP BY 1", "orders", ["COUNT(*)"], group_by=["o_orderpriority"], order_by="COUNT(*)", direction="DESC", aliases={"COUNT(*)": "n"}, place=True)
+request("group_order_limit", "SELECT l_suppkey, round(sum(l_extendedprice), 4) AS revenue, row_number() OVER (ORDER BY sum(l_extendedprice) DESC NULLS FIRST) AS place FROM lineitem GROUP BY 1 ORDER BY sum(l_extendedprice) DESC NULLS FIRST LIMIT 10", "lineitem", ["SUM(l_extendedprice)"], group_by=["l_suppkey"], order_by="SUM(l_extendedprice)", direction="desc", limit=10, aliases={"SUM(l_extendedprice)": "revenue"}, place=True)
 request("group_sum_of_int", "SELECT p_brand, sum(p_size)::DOUBLE AS s FROM part GROUP BY 1", "part", ["sum(p_size)"], group_by=["p_brand"], aliases={"sum(p_size)": "s"})
 request("group_text_sum_compat", "SELECT n_regionkey, 0.0::DOUBLE AS s FROM nation GROUP BY 1", "nation", ["SUM(n_name)"], group_by=["n_regionkey"], aliases={"SUM(n_name)": "s"}, profile=Profile.COMPAT)
 
@@ -121,11 +124,12 @@ def total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Sorting and limits.
-request("sort_asc", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal NULLS LAST", "customer", ["c_custkey", "c_acctbal"], order_by="c_acctbal")
-request("sort_desc", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC NULLS FIRST", "customer", ["c_custkey"], order_by="c_acctbal", direction="DESC")
+request("sort_asc", "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders", "orders", ["o_orderkey", "o_orderstatus"], order_by="o_orderkey", place=True)
+request("sort_desc", "SELECT c_name, row_number() OVER (ORDER BY c_custkey DESC) AS place FROM customer", "customer", ["c_name"], order_by="c_custkey", direction="DESC", place=True)
+request("sort_text", "SELECT c_name, row_number() OVER (ORDER BY c_name) AS place FROM customer", "customer", ["c_name"], order_by="c_name", place=True)
 request("sort_unknown_ignored", "SELECT n_name FROM nation", "nation", ["n_name"], order_by="nope", direction="DESC")
-request("topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 10", "orders", ["o_orderkey", "o_totalprice"], order_by="o_orderkey", direction="DESC", limit=10)
-request("topn_where", "SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) = 'f' ORDER BY o_orderkey LIMIT 10", "orders", ["o_orderkey"], "o_orderstatus = F", order_by="o_orderkey", limit=10)
+request("topn", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders ORDER BY o_orderkey DESC LIMIT 10", "orders", ["o_orderkey", "o_totalprice"], order_by="o_orderkey", direction="DESC", limit=10, place=True)
+request("topn_where", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE lower(o_orderstatus) = 'f' ORDER BY o_orderkey LIMIT 10", "orders", ["o_orderkey"], "o_orderstatus = F", order_by="o_orderkey", limit=10, place=True)
 request("limit_nonpositive", "SELECT n_nationkey FROM nation", "nation", ["n_nationkey"], limit=0)
 
 
@@ -138,12 +142,12 @@ def limit_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Counting, slices and files.
 @query("scan_count", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 10 AND l_tax > 0")
 def scan_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_count(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_tax"], "l_quantity > 10 AND l_tax > 0").select("n")
+    return scanned(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_tax"], "l_quantity > 10 AND l_tax > 0")
 
 
 @query("parquet_count", "SELECT count(*) AS n FROM lineitem")
 def parquet_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(parquet.count_rows(spark, f"{sf_dir}/lineitem.parquet"),)], "n long")
 
 
 _ORDERS = [Column("O_ORDERKEY", "LONG"), Column("o_totalprice", "DOUBLE"), Column("o_orderstatus", "STRING"), Column("o_orderdate", "LONG"), Column("missing", "INTEGER")]
@@ -173,8 +177,7 @@ def compat_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("csv_roundtrip", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s, min(epoch(o_orderdate))::BIGINT AS first FROM orders GROUP BY 1")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomwork"
-    folder = f"{base}/csv-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "csv")
     out = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.date_format(F.col("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"))
     out.write.option("header", "true").option("escape", '"').csv(folder)
     columns = [Column("O_OrderStatus", "STRING"), Column("o_totalprice", "DOUBLE"), Column("o_orderdate", "LONG")]
@@ -182,22 +185,34 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.col("O_OrderStatus").alias("o_orderstatus")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s"), F.min("o_orderdate").alias("first"))
 
 
-# The benchmark requests, over lineitem.
-request("ref_r1", "SELECT l_linenumber, count(*) AS n, round(sum(l_extendedprice), 4) AS total, round(avg(l_quantity), 4) AS mean, min(l_quantity) AS low, max(l_tax) AS high FROM lineitem GROUP BY 1 ORDER BY total DESC", "lineitem", ["COUNT(l_linenumber)", "SUM(l_extendedprice)", "AVG(l_quantity)", "MIN(l_quantity)", "MAX(l_tax)"], group_by=["l_linenumber"], order_by="SUM(l_extendedprice)", direction="DESC", aliases={"COUNT(l_linenumber)": "n", "SUM(l_extendedprice)": "total", "AVG(l_quantity)": "mean", "MIN(l_quantity)": "low", "MAX(l_tax)": "high"})
-request("ref_r2", "SELECT l_linenumber, count(*) AS n, round(sum(l_extendedprice), 4) AS total, round(avg(l_discount), 4) AS mean FROM lineitem WHERE l_discount > 0 AND l_tax > 0 GROUP BY 1", "lineitem", ["COUNT(l_linenumber)", "SUM(l_extendedprice)", "AVG(l_discount)"], "l_discount > 0 AND l_tax > 0", ["l_linenumber"], "COUNT(l_linenumber)", "DESC", aliases={"COUNT(l_linenumber)": "n", "SUM(l_extendedprice)": "total", "AVG(l_discount)": "mean"})
-request("ref_r3", "SELECT l_suppkey, count(*) AS n, round(avg(l_discount), 4) AS mean, max(l_extendedprice) AS high FROM lineitem WHERE l_discount > 0 GROUP BY 1", "lineitem", ["COUNT(l_suppkey)", "AVG(l_discount)", "MAX(l_extendedprice)"], "l_discount > 0", ["l_suppkey"], "AVG(l_discount)", "DESC", aliases={"COUNT(l_suppkey)": "n", "AVG(l_discount)": "mean", "MAX(l_extendedprice)": "high"})
-request("ref_r4", "SELECT l_linenumber, round(sum(l_extendedprice), 4) AS total FROM lineitem GROUP BY 1", "lineitem", ["SUM(l_extendedprice)"], group_by=["l_linenumber"], order_by="SUM(l_extendedprice)", direction="DESC", aliases={"SUM(l_extendedprice)": "total"})
-request("ref_r5", "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 4) AS total, round(avg(l_extendedprice), 4) AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(avg(l_quantity), 4) AS quantity FROM lineitem WHERE l_discount > 0 AND l_extendedprice > 0 GROUP BY 1", "lineitem", ["COUNT(*)", "SUM(l_extendedprice)", "AVG(l_extendedprice)", "MIN(l_extendedprice)", "MAX(l_extendedprice)", "AVG(l_quantity)"], "l_discount > 0 AND l_extendedprice > 0", ["l_returnflag"], "SUM(l_extendedprice)", "DESC", aliases={"COUNT(*)": "n", "SUM(l_extendedprice)": "total", "AVG(l_extendedprice)": "mean", "MIN(l_extendedprice)": "low", "MAX(l_extendedprice)": "high", "AVG(l_quantity)": "quantity"})
+# The requests of the demo run, over lineitem.
+def _headline(key: str, sql: str, aliases: dict[str, str]):
+    asked = benchmarks.REQUESTS[key]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return renamed(_rounded(compile_request(_read(spark, sf_dir, "lineitem"), asked)), aliases)
+
+    QUERIES[f"ref_{key.lower()}"], ORACLE_SQL[f"ref_{key.lower()}"] = run, sql
+
+
+_headline("R1", "SELECT l_linenumber, count(*) AS n, round(sum(l_extendedprice), 4) AS total, round(avg(l_quantity), 4) AS mean, min(l_quantity) AS low, max(l_tax) AS high FROM lineitem GROUP BY 1 ORDER BY total DESC", {"COUNT(l_quantity)": "n", "SUM(l_extendedprice)": "total", "AVG(l_quantity)": "mean", "MIN(l_quantity)": "low", "MAX(l_tax)": "high"})
+_headline("R2", "SELECT l_linenumber, count(*) AS n, round(avg(l_quantity), 4) AS quantity, round(avg(l_discount), 4) AS discount, round(sum(l_extendedprice), 4) AS total FROM lineitem WHERE l_discount > 0 AND l_tax > 0 GROUP BY 1 ORDER BY total DESC", {"COUNT(l_quantity)": "n", "AVG(l_quantity)": "quantity", "AVG(l_discount)": "discount", "SUM(l_extendedprice)": "total"})
+_headline("R3", "SELECT l_suppkey, count(*) AS n, round(sum(l_discount), 4) AS total, round(avg(l_discount), 4) AS mean, max(l_extendedprice) AS high FROM lineitem WHERE l_discount > 0 GROUP BY 1 ORDER BY total DESC", {"COUNT(l_quantity)": "n", "SUM(l_discount)": "total", "AVG(l_discount)": "mean", "MAX(l_extendedprice)": "high"})
+_headline("R4", "SELECT l_linenumber, round(sum(l_extendedprice), 4) AS total FROM lineitem GROUP BY 1 ORDER BY total DESC", {"SUM(l_extendedprice)": "total"})
+_headline("R5", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(avg(l_quantity), 4) AS quantity, round(sum(l_extendedprice), 4) AS total, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem WHERE l_discount > 0 AND l_extendedprice > 0 GROUP BY 1 ORDER BY total DESC", {"COUNT(*)": "n", "AVG(l_extendedprice)": "mean", "AVG(l_quantity)": "quantity", "SUM(l_extendedprice)": "total", "MIN(l_extendedprice)": "low", "MAX(l_extendedprice)": "high"})
 
 
 @query("ref_s1", "SELECT count(*) AS n FROM lineitem")
 def ref_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_count(_read(spark, sf_dir, "lineitem"), ["l_linenumber", "l_extendedprice", "l_tax"]).select("n")
+    return scanned(_read(spark, sf_dir, "lineitem"), benchmarks.REQUESTS["S1"].select)
 
 
 @query("ref_s2", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 10 AND l_tax > 0")
 def ref_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_count(_read(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax", "l_extendedprice"], "l_quantity > 10 AND l_tax > 0").select("n")
+    return scanned(_read(spark, sf_dir, "lineitem"), benchmarks.REQUESTS["S2"].select, benchmarks.REQUESTS["S2"].where)
 
 
-request("ref_s3", "SELECT l_orderkey, l_partkey, l_extendedprice, l_tax, l_quantity FROM lineitem ORDER BY l_extendedprice DESC LIMIT 10", "lineitem", ["l_orderkey", "l_partkey", "l_extendedprice", "l_tax", "l_quantity"], order_by="l_extendedprice", direction="DESC", limit=10)
+@query("ref_s3", "SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC) AS place FROM lineitem ORDER BY l_extendedprice DESC LIMIT 10")
+def ref_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five columns are asked for; which rows come last among equal prices is open, so prices and places are compared."""
+    return placed(compile_request(_read(spark, sf_dir, "lineitem"), benchmarks.REQUESTS["S3"])).select("l_extendedprice", "place")

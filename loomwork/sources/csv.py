@@ -1,4 +1,4 @@
-"""CSV with a header line, bound to declared columns by name."""
+"""CSV with a header line in each file, bound to declared columns by name."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..errors import LoadError
 from ..functions.dialect import parse_text, stored
+from ..types import DECLARED, Profile
 from ..types import Column as Declared
-from ..types import Profile
 
 _OPTIONS = {"quote": '"', "escape": '"', "sep": ",", "multiLine": "false", "mode": "PERMISSIVE"}
 
@@ -34,62 +34,56 @@ def bound(names: list[str], cells: list[Column], columns: list[Declared], profil
     out = []
     for c in columns:
         i = at.get(c.name.lower())
-        value = parse_text(cells[i], c.type) if i is not None else F.lit(None).cast("string").cast(_spark(c))
+        value = parse_text(cells[i], c.type) if i is not None else F.lit(None).cast("string").cast(DECLARED[c.type])
         out.append(stored(value, c.type, profile).alias(c.name))
     return out
 
 
-def _spark(c: Declared) -> T.DataType:
-    from ..types import DECLARED
-
-    return DECLARED[c.type]
-
-
 def read(spark: SparkSession, path: str, columns: list[Declared], profile: Profile = Profile.STRICT, max_rows: int | None = None) -> DataFrame:
-    """A whole file, or its first max_rows rows. Blank lines are no rows; short records leave columns null."""
+    """A whole file or folder, or its first max_rows rows. Blank lines are no rows; short records leave columns null."""
+    if max_rows and max_rows > 0:
+        return read_slice(spark, path, columns, 0, max_rows, profile)
     names = header(_first_line(spark.read.text(path)))
     raw = spark.read.options(**_OPTIONS, header="true").schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])).option("enforceSchema", "true").csv(path)
     cells = [F.col(x) for x in raw.columns]
     # Spark drops empty lines; a line of spaces is one cell of spaces and no more.
     rest = F.coalesce(*cells[1:]) if len(cells) > 1 else F.lit(None)
     raw = raw.where(~(rest.isNull() & cells[0].isNotNull() & (F.trim(cells[0]) == "")))
-    rows = raw.select(bound(names, cells, columns, profile))
-    return rows.limit(max_rows) if max_rows and max_rows > 0 else rows
+    return raw.select(bound(names, cells, columns, profile))
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line) of a text file, lines counted from 0 in file order.
+def _placed(lines: DataFrame, skip_headers: bool) -> DataFrame:
+    """lines (value, file_path, start, id) with their place from 0 in file order; headers are left out if asked.
 
-    Splits of a file are read in order, so a line's number is its place in
-    its split plus the lines of the splits before; the driver sees one
-    count per split.
+    ids are consecutive inside a split, so a place is the id plus the lines of
+    the splits before. The driver gets one row per split, as it holds one for
+    every scan anyway.
     """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    counts = sorted(lines.groupBy("file_path", "start").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect(), key=lambda r: (r.file_path, r.start))
+    some = F.when(F.trim("value") != "", F.col("id"))
+    splits = sorted(lines.groupBy("file_path", "start").agg(F.min("id").alias("low"), F.min(some).alias("head"), F.count("*").alias("n")).collect(), key=lambda r: (r.file_path, r.start))
     rows, at = [], 0
-    for r in counts:
-        rows.append((r.file_path, r.start, at - r.low))
-        at += r.n
-    shift = spark.createDataFrame(rows, "file_path string, start long, shift long")
-    return lines.join(F.broadcast(shift), ["file_path", "start"]).select("value", (F.col("id") + F.col("shift")).alias("line"))
+    for r in splits:
+        heads = (r.n if r.head is None else r.head - r.low + 1) if skip_headers and r.start == 0 else 0
+        rows.append((r.file_path, r.start, at - r.low - heads, r.low + heads))
+        at += r.n - heads
+    table = lines.sparkSession.createDataFrame(rows, "file_path string, start long, shift long, least long")
+    return lines.join(F.broadcast(table), ["file_path", "start"]).where("id >= least").withColumn("place", F.col("id") + F.col("shift")).drop("shift", "least")
 
 
-def read_slice(spark: SparkSession, path: str, columns: list[Declared], skip_rows: int, max_rows: int, profile: Profile = Profile.STRICT) -> DataFrame:
-    """max_rows rows behind the first skip_rows lines after the header; blank lines count when skipped, not as rows."""
-    names = header(_first_line(spark.read.text(path)))
-    lines = numbered(spark, path).where((F.col("line") > skip_rows) & (F.trim("value") != "")).orderBy("line").limit(max_rows)
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = lines.select(F.from_csv("value", F.lit(schema), _OPTIONS).alias("r"))
-    return rows.select(bound(names, [F.col(f"r.c{i}") for i in range(len(names))], columns, profile))
-
+def read_slice(spark: SparkSession, path: str, columns: list[Declared], skip_rows: int, max_rows: int | None = None, profile: Profile = Profile.STRICT) -> DataFrame:
+    """max_rows rows (all, if None) behind the first skip_rows lines after the header; blank lines count when skipped, not as rows.
 
-def read_bytes(spark: SparkSession, data: bytes, columns: list[Declared], profile: Profile = Profile.STRICT, max_rows: int | None = None) -> DataFrame:
-    """An uploaded file, without a temporary copy that executors couldn't see."""
-    lines = [x for x in data.decode("utf-8-sig").splitlines() if x.strip()]
-    if not lines:
-        raise LoadError("the file is empty")
-    names, lines = header(lines[0]), lines[1:]
-    lines = lines[:max_rows] if max_rows and max_rows > 0 else lines
+    Lines are numbered inside their split as it is read, so nothing is sorted
+    or shuffled: one pass counts the lines of each split, and another the rows
+    behind the skipped lines, where a limit needs them.
+    """
+    text = spark.read.text(path)
+    names = header(_first_line(text))
+    lines = text.select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start")).withColumn("id", F.monotonically_increasing_id())
+    rows = _placed(lines, True).where(F.col("place") >= skip_rows)
+    rows = rows.where(F.trim("value") != "").select("value", "file_path", "start").withColumn("id", F.monotonically_increasing_id())
+    if max_rows is not None:
+        rows = _placed(rows, False).where(F.col("place") < max_rows)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_csv("value", F.lit(schema), _OPTIONS).alias("r"))
+    rows = rows.select(F.from_csv("value", F.lit(schema), _OPTIONS).alias("r"))
     return rows.select(bound(names, [F.col(f"r.c{i}") for i in range(len(names))], columns, profile))

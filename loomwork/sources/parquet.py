@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,40 +24,44 @@ def bound(df: DataFrame, columns: list[Declared], profile: Profile) -> DataFrame
 
 
 def read(spark: SparkSession, path: str, columns: list[Declared] | None = None, profile: Profile = Profile.STRICT, max_rows: int | None = None) -> DataFrame:
-    """A whole file or folder, or a prefix of max_rows rows; columns are inferred if none are declared."""
+    """A whole file or folder, or its first max_rows rows; columns are inferred if none are declared."""
+    if max_rows and max_rows > 0:
+        return read_slice(spark, path, columns, 0, max_rows, profile)
     df = spark.read.parquet(path)
-    df = bound(df, columns or infer(df.schema), profile)
-    return df.limit(max_rows) if max_rows and max_rows > 0 else df
+    return bound(df, columns or infer(df.schema), profile)
 
 
-def read_slice(spark: SparkSession, path: str, columns: list[Declared] | None, skip_rows: int, max_rows: int, profile: Profile = Profile.STRICT) -> DataFrame:
-    """Exactly the rows from skip_rows on, max_rows of them, in the order of files by name and rows in them.
+def read_slice(spark: SparkSession, path: str, columns: list[Declared] | None, skip_rows: int, max_rows: int | None = None, profile: Profile = Profile.STRICT) -> DataFrame:
+    """Exactly the rows from skip_rows on, max_rows of them (all, if None), in the order of files by name and rows in them.
 
-    Row numbers come from the scan, so row groups outside the slice are
-    skipped; of several files the driver sees one count each.
+    Row numbers come from the scan. Of several files the driver gets one count
+    each, read from the footers; the test names the first and the last file of
+    the slice only, and files outside are not opened.
     """
     df = spark.read.parquet(path)
     kept = [*df.columns]
-    df = df.select("*", F.col("_metadata.row_index").alias("__row"), F.col("_metadata.file_path").alias("__file"))
-    files = sorted(df.groupBy("__file").count().collect())
-    test, at = F.lit(False), 0
+    files = _counts(df)
+    end = None if max_rows is None else skip_rows + max_rows
+    wanted, at = [], 0
     for file, n in files:
-        low, high = max(0, skip_rows - at), skip_rows + max_rows - at
-        if high > 0 and low < n:
-            test = test | (F.col("__file") == file) & (F.col("__row") >= low) & (F.col("__row") < high)
+        low, high = max(0, skip_rows - at), n if end is None else min(n, end - at)
+        if low < high:
+            wanted.append((file, low, high))
         at += n
+    if not wanted:
+        return bound(df.limit(0), columns or infer(df.schema), profile)
+    (first, low, _), (last, _, high) = wanted[0], wanted[-1]
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    test = (file >= first) & (file <= last) & ((file > first) | (row >= low)) & ((file < last) | (row < high))
     rows = df.where(test).select([name(c) for c in kept])
     return bound(rows, columns or infer(rows.schema), profile)
 
 
+def _counts(df: DataFrame) -> list[tuple[str, int]]:
+    """(file, rows) by name; no column is read."""
+    return sorted((r.file_path, r["count"]) for r in df.groupBy("_metadata.file_path").count().collect())
+
+
 def count_rows(spark: SparkSession, path: str) -> int:
     """Rows by the footers; no column is read."""
     return spark.read.parquet(path).count()
-
-
-def read_bytes(spark: SparkSession, data: bytes, columns: list[Declared] | None = None, profile: Profile = Profile.STRICT, max_rows: int | None = None) -> DataFrame:
-    import pyarrow.parquet as pq
-
-    table = pq.read_table(io.BytesIO(data))
-    df = spark.createDataFrame(table.slice(0, max_rows) if max_rows and max_rows > 0 else table)
-    return bound(df, columns or infer(df.schema), profile)

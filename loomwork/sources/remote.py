@@ -5,16 +5,21 @@ from __future__ import annotations
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections.abc import Iterator
 
 from ..errors import LoadError
 
 SCHEMES = ("http", "https")
 TIMEOUT_S = 30
 LARGEST = 4 << 30
+CHUNK = 1 << 20
 
 
-def fetch(url: str, schemes=SCHEMES, hosts: list[str] | None = None) -> bytes:
-    """The body of a URL of an allowed scheme and, if any are listed, host; redirects must be allowed as well."""
+def fetch(url: str, schemes=SCHEMES, hosts: list[str] | None = None, largest: int = LARGEST) -> Iterator[bytes]:
+    """The body of a URL in chunks; scheme and, if any are listed, host must be allowed, those of redirects as well.
+
+    A body of more than `largest` bytes is an error.
+    """
 
     def allowed(target: str) -> None:
         parts = urllib.parse.urlsplit(target)
@@ -27,11 +32,13 @@ def fetch(url: str, schemes=SCHEMES, hosts: list[str] | None = None) -> bytes:
             return super().redirect_request(req, fp, code, msg, headers, newurl)
 
     allowed(url)
+    size = 0
     try:
         with urllib.request.build_opener(Redirects).open(url, timeout=TIMEOUT_S) as got:
-            data = got.read(LARGEST + 1)
+            while chunk := got.read(CHUNK):
+                size += len(chunk)
+                if size > largest:
+                    raise LoadError(f"{url}: larger than {largest} bytes")
+                yield chunk
     except urllib.error.URLError as e:
         raise LoadError(f"{url}: {e}") from e
-    if len(data) > LARGEST:
-        raise LoadError(f"{url}: larger than {LARGEST} bytes")
-    return data

@@ -2,6 +2,7 @@
 
 import io
 import json
+import pathlib
 import threading
 import urllib.error
 import urllib.request
@@ -13,7 +14,7 @@ from cases import USER_COLUMNS, USERS
 
 from loomwork import benchmarks, http
 from loomwork.engine import Engine
-from loomwork.errors import InvalidQueryError, LoadError, TableExistsError, TableNotFoundError
+from loomwork.errors import InvalidQueryError, LoadError, TableExistsError, TableNotFoundError, TooLargeError
 from loomwork.plans.request import QueryRequest
 from loomwork.sources import csv, parquet, remote, sinks
 from loomwork.streaming.requests import follow, running
@@ -48,11 +49,16 @@ def test_csv_quirks(spark, tmp_path):
     columns = [Column("a", "STRING"), Column("b", "INTEGER"), Column("T", "LONG"), Column("D", "DOUBLE"), Column("ok", "BOOLEAN"), Column("gone", "DOUBLE")]
     want = [('say "hi", you', 7, 1577934245, 1.5, True, None), (None, None, 12, None, False, None), ("z", None, None, None, True, None)]
     assert [tuple(r) for r in csv.read(spark, str(path), columns).collect()] == want
-    assert [tuple(r) for r in csv.read_bytes(spark, path.read_bytes(), columns).collect()] == want
+    uploads = Engine(spark)
+    uploads.create_table("q", columns)
+    assert uploads.load_bytes("q", path.read_bytes(), "CSV") == 3 and [tuple(r) for r in uploads.table("q").collect()] == want
+    assert uploads.load_bytes("q", io.BytesIO(path.read_bytes()), "csv", max_rows=2) == 2
     # The two lines without text count when skipped.
     assert [tuple(r) for r in csv.read_slice(spark, str(path), columns, 1, 5).collect()] == want[1:]
     assert [tuple(r) for r in csv.read_slice(spark, str(path), columns, 4, 5).collect()] == want[2:]
     assert csv.read(spark, str(path), columns, Profile.COMPAT).collect()[1].b == 0
+    assert csv.read_slice(spark, str(path), columns, 3).count() == 2  # no end
+    assert csv.read(spark, str(path), columns, max_rows=2).count() == 2
     (tmp_path / "e.csv").write_text("")
     with pytest.raises(LoadError):
         csv.read(spark, str(tmp_path / "e.csv"), columns)
@@ -74,7 +80,60 @@ def test_parquet_types_and_slices(spark, tmp_path):
     assert [(c.name, c.type) for c in infer(spark.read.parquet(path).schema)] == [("I", "LONG"), ("f", "DOUBLE"), ("b", "BOOLEAN"), ("s", "STRING"), ("ts", "LONG")]
     data = io.BytesIO()
     pq.write_table(pa.table({"id": [1, 2, 3]}), data)
-    assert parquet.read_bytes(spark, data.getvalue(), max_rows=2).count() == 2
+    uploads = Engine(spark)
+    uploads.create_table("p", [("id", "LONG")])
+    assert uploads.load_bytes("p", data.getvalue(), "PARQUET", max_rows=2) == 2
+    (held,) = uploads._spooled["p"]
+    assert sorted(r.id for r in uploads.table("p").collect()) == [1, 2]
+    uploads.drop_table("p")
+    assert not pathlib.Path(held.removeprefix("file:")).exists()
+
+
+def test_slices_of_many_files(spark, tmp_path):
+    """Prefixes and slices follow the order of files and rows, over splits of a few bytes too."""
+    for k in range(4):
+        (tmp_path / "c").mkdir(exist_ok=True)
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "c" / f"{k}.csv").write_text("\n" * (k == 2) + "id,x\n" + "".join(f"{k * 50 + i},{i}\n" + "\n" * (i == 7) for i in range(50)))
+        pq.write_table(pa.table({"id": list(range(k * 50, k * 50 + 50))}), str(tmp_path / "p" / f"{k}.parquet"), row_group_size=9)
+    lines = [x for k in range(4) for x in [*(k * 50 + i for i in range(8)), None, *(k * 50 + i for i in range(8, 50))]]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        for skip, most in ((0, 3), (0, 120), (8, 10), (9, 10), (45, 60), (51, None), (203, 5), (500, None)):
+            want = [x for x in lines[skip:] if x is not None][:most]
+            assert [r.id for r in csv.read_slice(spark, str(tmp_path / "c"), [Column("id", "LONG")], skip, most).orderBy("id").collect()] == want
+            want = list(range(200))[skip : None if most is None else skip + most]
+            assert sorted(r.id for r in parquet.read_slice(spark, str(tmp_path / "p"), [Column("id", "LONG")], skip, most).collect()) == want
+        assert sorted(r.id for r in csv.read(spark, str(tmp_path / "c"), [Column("id", "LONG")], max_rows=70).collect()) == list(range(70))
+        assert sorted(r.id for r in csv.read(spark, str(tmp_path / "c"), [Column("id", "LONG")]).collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_load_that_fails_changes_nothing(spark, tmp_path, engine):
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        engine.load("users", str(tmp_path / "bad.parquet"), "PARQUET")
+    assert engine.describe("users")["rowCount"] == 10 and engine.query({"tableName": "users"}).count() == 10
+
+
+def test_sorted_groups_after_analysis(engine):
+    asked = QueryRequest("users", ["SUM(age)"], group_by=["ville"], order_by="SUM(age)", direction="DESC")
+    before = engine.query(asked).collect()
+    assert engine.analyze("users", ["ville"])["ville"] in (3, 4, 5)
+    plan = engine.query(asked)
+    assert plan.collect() == before and "rangepartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    engine.add_rows("users", [(11, "Zoe", 1, "Nice", 1)])
+    assert len(engine.query(asked).collect()) == 4
+
+
+def test_places(spark):
+    from loomwork.operators.scan import placed
+
+    got = placed(spark.range(100).repartition(7).orderBy("id")).collect()
+    assert sorted((r.id, r.place) for r in got) == [(i, i + 1) for i in range(100)]
+    assert placed(spark.range(0).orderBy("id")).collect() == []
 
 
 def test_sinks(engine, tmp_path):
@@ -85,10 +144,17 @@ def test_sinks(engine, tmp_path):
     text = next((tmp_path / "out").glob("part-*.csv")).read_text()
     assert text.splitlines() == ["ville,mean", "Lyon,24.33", "Marseille,36.33", "Paris,28.75"]
     assert "| Lyon" in sinks.table_text(df, {"AVG(age)": "mean"}) and sinks.table_text(df.limit(0)) == sinks.NO_ROWS
+    assert "there are more" in sinks.table_text(df, rows=2)
+    sinks.write_csv(df.limit(0), str(tmp_path / "none"), placeholder="nothing")
+    assert next((tmp_path / "none").glob("part-*")).read_text() == "nothing\n"
+    with pytest.raises(TooLargeError):
+        sinks.envelope(engine.table("users"), 9)
     metric = benchmarks.timed_group(engine, QueryRequest("users", group_by=["ville"]))
     sinks.write_metrics([metric], str(tmp_path / "m.csv"))
     sinks.write_trace([metric], str(tmp_path / "m.md"))
     assert (tmp_path / "m.csv").read_text().splitlines()[0] == "operation,rowCount,elapsedMs,elapsedNs"
+    sinks.write_plot({10: [metric], 20: [metric]}, str(tmp_path / "plot.py"))
+    assert "GROUP_BY" in (tmp_path / "plot.py").read_text() and compile((tmp_path / "plot.py").read_text(), "plot", "exec")
     assert metric.rows == 3 and "GROUP_BY" in (tmp_path / "m.md").read_text()
 
 
@@ -99,7 +165,14 @@ def test_ladder(spark, tmp_path):
     assert list(out) == [10, 100] and [m.rows for m in out[10]] == [10, 10, 5, 3, 0] and out[10][-1].error
 
 
-def test_http(spark, tmp_path, users_csv):
+def test_demo(spark, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    pq.write_table(pa.table({"l_linenumber": [i % 3 for i in range(100)], "l_extendedprice": [float(i) for i in range(100)]}), path)
+    out = benchmarks.demo(spark, path, [10, 40, 1000], {k: benchmarks.REQUESTS[k] for k in ("R4", "S1")})
+    assert {k: [m.rows for m in v] for k, v in out.items()} == {10: [10, 10, 3, 10], 40: [30, 40, 3, 40], 100: [60, 100, 3, 100]}
+
+
+def test_http(spark, tmp_path, users_csv, monkeypatch):
     pq.write_table(pa.table({"k": [1, 2]}), str(tmp_path / "b.parquet"))
     server = http.serve(Engine(spark), roots=[str(tmp_path)])
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -127,7 +200,24 @@ def test_http(spark, tmp_path, users_csv):
         assert call("GET", "/tables")[1][0]["rowCount"] == 10 and call("GET", "/tables/users")[0] == 200
         assert call("POST", "/tables/load-url", {"tableName": "users", "url": "file:///etc/passwd", "fileFormat": "CSV"})[0] == 400
         assert call("POST", "/benchmark/run-path", {"path": "/etc/passwd"})[0] == 400
-        assert call("POST", "/benchmark/run-path", {"path": str(tmp_path / "b.parquet"), "scales": [2]})[1]["2"][0]["rows"] == 2
+        status, got = call("POST", f"/benchmark/run-path?filePath={tmp_path}/b.parquet&scales=1,2,9")
+        assert status == 200 and (got["file"], got["totalRowsInFile"], got["columnsDetected"]) == ("b.parquet", 2, 1)
+        assert [r["scale"] for r in got["results"]] == [1, 2] and got["results"][1]["LOAD"]["rowCount"] == 2 and got["results"][1]["GROUP_BY_SIMPLE"]["status"] == "error"
+        form = lambda *fields: b"".join(b"--X\r\nContent-Disposition: form-data; %s\r\n\r\n%s\r\n" % x for x in fields) + b"--X--"
+        taxi = io.BytesIO()
+        pq.write_table(pa.table({c: [1.0, 20.0, 30.0] for c in ("fare_amount", "total_amount", "passenger_count", "trip_distance", "payment_type", "VendorID", "tip_amount")}), taxi)
+        status, got = call("POST", "/benchmark/run", form((b'name="scales"', b"2, 3"), (b'name="file"; filename="t.parquet"', taxi.getvalue())), "multipart/form-data; boundary=X")
+        assert status == 200 and got["file"] == "t.parquet" and [r["scale"] for r in got["results"]] == [2, 3]
+        assert {k: v["rowCount"] for k, v in got["results"][1].items() if k != "scale"} == {"LOAD": 3, "CACHE": 3, "SELECT": 3, "WHERE_SIMPLE": 2, "WHERE_COMPLEX": 1, "GROUP_BY_SIMPLE": 3, "GROUP_BY_COMPLEX": 3}
+        assert call("POST", "/benchmark/run", form((b'name="file"; filename="t.parquet"', b"")), "multipart/form-data; boundary=X")[0] == 400
+        assert call("POST", "/benchmark/run", b"--X\r\nContent-Disposition: form-data; name=\"file\"; filename=\"t\"\r\n\r\ncut short", "multipart/form-data; boundary=X")[0] == 400
+        monkeypatch.setattr(http, "LARGEST_JSON", 100)
+        assert call("POST", "/query/select", {"tableName": "users", "where": "x" * 200})[0] == 413
+        monkeypatch.setattr(http, "LARGEST_BODY", 150)
+        assert call("POST", "/tables/load", b"x" * 200)[0] == 413
+        monkeypatch.setattr(http, "envelope", lambda df: 1 / 0)
+        assert call("POST", "/query/select", {"tableName": "users"})[0] == 500
+        assert call("POST", "/benchmark/run-path", {"path": str(tmp_path / "b.parquet"), "scales": [2]})[1]["results"][0]["LOAD"]["rowCount"] == 2
         assert call("DELETE", "/tables/users")[0] == 200 and call("GET", "/tables/users")[0] == 404 and call("GET", "/nope")[0] == 404
     finally:
         server.shutdown()
@@ -157,9 +247,11 @@ def test_url_load(engine, users_csv):
         assert engine.load_url("users", base + "/moved", "CSV", max_rows=4) == 4
         for url in (base + "/none", "ftp://x/y"):
             with pytest.raises(LoadError):
-                remote.fetch(url)
+                list(remote.fetch(url))
+        with pytest.raises(LoadError):
+            list(remote.fetch(base + "/users.csv", hosts=["example.org"]))
         with pytest.raises(LoadError):
-            remote.fetch(base + "/users.csv", hosts=["example.org"])
+            list(remote.fetch(base + "/users.csv", largest=10))
     finally:
         server.shutdown()
 
