@@ -21,6 +21,8 @@ from .types import Column, Profile
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: What the queries that are one request each ask for.
+REQUESTED: dict[str, QueryRequest] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,7 +43,7 @@ def request(key: str, sql: str | None, table: str, select=None, where=None, grou
             df = placed(df)
         return renamed(_rounded(df) if group_by else df, aliases or {})
 
-    QUERIES[key] = run
+    QUERIES[key], REQUESTED[key] = run, asked
     if sql:
         ORACLE_SQL[key] = sql
 
@@ -192,7 +194,8 @@ def _headline(key: str, sql: str, aliases: dict[str, str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return renamed(_rounded(compile_request(_read(spark, sf_dir, "lineitem"), asked)), aliases)
 
-    QUERIES[f"ref_{key.lower()}"], ORACLE_SQL[f"ref_{key.lower()}"] = run, sql
+    key = f"ref_{key.lower()}"
+    QUERIES[key], ORACLE_SQL[key], REQUESTED[key] = run, sql, asked
 
 
 _headline("R1", "SELECT l_linenumber, count(*) AS n, round(sum(l_extendedprice), 4) AS total, round(avg(l_quantity), 4) AS mean, min(l_quantity) AS low, max(l_tax) AS high FROM lineitem GROUP BY 1 ORDER BY total DESC", {"COUNT(l_quantity)": "n", "SUM(l_extendedprice)": "total", "AVG(l_quantity)": "mean", "MIN(l_quantity)": "low", "MAX(l_tax)": "high"})
@@ -214,5 +217,8 @@ def ref_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ref_s3", "SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC) AS place FROM lineitem ORDER BY l_extendedprice DESC LIMIT 10")
 def ref_s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five columns are asked for; which rows come last among equal prices is open, so prices and places are compared."""
+    """Five columns are asked for and written; which rows come last among equal prices is open, so prices and places are compared."""
     return placed(compile_request(_read(spark, sf_dir, "lineitem"), benchmarks.REQUESTS["S3"])).select("l_extendedprice", "place")
+
+
+REQUESTED["ref_s3"] = benchmarks.REQUESTS["S3"]

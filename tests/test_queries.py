@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomwork import registry
+from loomwork import registry, registry_engine
 from loomwork.plans.compiler import compile_request
 from loomwork.plans.request import QueryRequest
 
@@ -31,7 +31,7 @@ def canonical(names, rows):
     return [names[i] for i in order], sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("key", sorted(registry.QUERIES))
+@pytest.mark.parametrize("key", sorted(registry_engine.QUERIES))
 def test_query(spark, duck, key):
     got = registry.QUERIES[key](spark, DATA)
     want = duck.execute(registry.ORACLE_SQL[key])
