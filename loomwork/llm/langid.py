@@ -11,11 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
+from .session import free_name
 
 #: Cells of the hash table, characters per n-gram, and the pseudo-count of a cell.
 CELLS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
+#: Bytes of a model's matrix at most: beyond 2,048 languages its cells are added up by pairs, fours and so on.
+MODEL_BYTES = 1 << 28
 #: Pieces in which the counts of a language are summed.
 PIECES = 8
 UNKNOWN = "und"
@@ -47,7 +51,7 @@ def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def cells(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order the cells of all n-grams and their offsets per row."""
+    """For each order the cells of all n-grams and their offsets per row: the high bits of a hash, so that neighbours can be added up."""
     many = np.diff(at)
     h = np.zeros(len(points), np.uint32)
     for n in range(1, max(ORDERS) + 1):
@@ -66,21 +70,21 @@ def cells(points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield cell.astype(np.int32), np.concatenate([[0], np.cumsum(per_row)])
 
 
-def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram and row counts by language, summed over a partition."""
+def learned(batches: Iterator[pa.RecordBatch], fold: int = 1) -> Iterator[pa.RecordBatch]:
+    """n-gram counts (over `fold` neighbouring cells) and row counts by language, summed over a partition."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         data, offs = kernel.text_buffers(batch.column("text"))
         langs = batch.column("lang").to_pylist()
         for i, j in kernel.slices(offs):
             for lang in langs[i:j]:
-                counts.setdefault(lang, np.zeros(CELLS + 1, np.int64))[CELLS] += 1
+                counts.setdefault(lang, np.zeros(CELLS // fold + 1, np.int64))[-1] += 1
             names = sorted(set(langs[i:j]))
             which = np.searchsorted(names, langs[i:j])
             for cell, at in cells(*characters(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])):
-                own = np.bincount(cell + np.repeat(which * CELLS, np.diff(at)), minlength=len(names) * CELLS).reshape(-1, CELLS)
+                own = np.bincount(cell // fold + np.repeat(which * (CELLS // fold), np.diff(at)), minlength=len(names) * CELLS // fold).reshape(-1, CELLS // fold)
                 for name, x in zip(names, own, strict=True):
-                    counts[name][:CELLS] += x
+                    counts[name][:-1] += x
     rows = [(lang, p, zlib.compress(x.tobytes(), 1)) for lang, all_ in counts.items() for p, x in enumerate(np.array_split(all_, PIECES))]
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())], ["lang", "piece", "counts"])
 
@@ -106,31 +110,45 @@ class Model:
 def train(rows: DataFrame) -> Model:
     """A model of rows (text, lang); those without a text or lang teach nothing.
 
-    The driver gets one row of counts per language and piece.
+    The driver gets one row of counts per language and piece, and the matrix
+    that is broadcast has MODEL_BYTES bytes at most however many languages
+    there are: their number is counted first, and fewer cells are kept of each
+    if they are many. Repeated rows count each time; texts are read whole.
     """
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    parts = rows.mapInArrow(learned, "lang string, piece int, counts binary").repartition("lang", "piece").mapInArrow(summed, "lang string, piece int, counts binary").collect()
+    fold = 1
+    if (n := rows.select("lang").distinct().count()) * CELLS * 4 > MODEL_BYTES:
+        fold = 1 << (n * CELLS * 4 // MODEL_BYTES).bit_length()
+
+    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return learned(batches, fold)
+
+    parts = rows.mapInArrow(fewer, "lang string, piece int, counts binary").repartition("lang", "piece").mapInArrow(summed, "lang string, piece int, counts binary").collect()
     langs = sorted({r.lang for r in parts})
     counts = {lang: np.concatenate([np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64) for r in sorted(parts, key=lambda r: r.piece) if r.lang == lang]) for lang in langs}
     if not langs:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros(0))
-    grams = np.array([counts[x][:CELLS] for x in langs], float) + SMOOTHING
-    docs = np.array([counts[x][CELLS] for x in langs], float)
+    grams = np.array([counts[x][:-1] for x in langs], float) + SMOOTHING
+    docs = np.array([counts[x][-1] for x in langs], float)
     return Model(langs, np.ascontiguousarray(np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)), np.log(docs / docs.sum()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score, the probability of that language.
 
-    Null texts and texts without a letter get `und` and 0, as all do if the
-    model has learned nothing. Ties go to the first language by name.
+    Null and empty texts and texts without a letter get `und` and 0, as all do
+    if the model has learned nothing. Ties go to the first language by name.
+    Texts are read whole, however long; equal texts get equal results, repeated
+    rows stay rows, an empty table gives an empty one. Columns `lang_pred` and
+    `score` of docs are replaced; other columns may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        fold = CELLS // len(model.table)
         for batch in batches:
-            data, offs = kernel.text_buffers(batch.column("__text"))
+            data, offs = kernel.text_buffers(batch.column(batch.num_columns - 1))
             best, score = [], []
             for i, j in kernel.slices(offs):
                 points, at = characters(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
@@ -138,7 +156,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 some = np.diff(letters) > 0
                 total = np.tile(model.prior, (j - i, 1))
                 for cell, cut in cells(points, at):
-                    filled = np.flatnonzero(np.diff(cut))
+                    cell, filled = cell // fold, np.flatnonzero(np.diff(cut))
                     for x in range(len(model.langs)) if len(filled) else ():
                         total[filled, x] += np.add.reduceat(model.table[:, x][cell], cut[filled], dtype=np.float64)
                 if model.langs:
@@ -153,8 +171,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     kept = docs.drop("lang_pred", "score")
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return kept.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.select("*", F.col("text").cast("string").alias(free_name(kept, "whole"))).mapInArrow(run, schema)
 
 
 def held_out(column, parts: int, which: int):

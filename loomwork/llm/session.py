@@ -1,30 +1,16 @@
-"""What the operators need from the session."""
-
-from __future__ import annotations
-
-import tempfile
-import uuid
+"""What the operators need from the session (see the module of the same name beside this subpackage) and from inputs."""
 
 from pyspark.sql import DataFrame
 
+from ..session import cut, discard, remove, shared_folder
 
-def _checkpoints(context) -> None:
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, into the shared checkpoint folder, and drop its lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set,
-    as in tests on one machine, a temporary one is made.
-    """
-    _checkpoints(df.sparkSession.sparkContext)
-    return df.checkpoint(eager=True)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it none of df's columns in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder that driver and executors share, below the checkpoint folder."""
-    context = spark.sparkContext
-    _checkpoints(context)
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "discard", "free_name", "remove", "shared_folder"]
