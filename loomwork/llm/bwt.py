@@ -1,12 +1,13 @@
-"""Substring dedup over bytes by a column-wise built collection BWT.
+"""Substring dedup over bytes by a column-wise built collection BWT with common prefixes.
 
 The routing module turns the corpus into buckets of short strings in which
 every repeat lies whole. For each bucket the Burrows-Wheeler transform of the
 collection is built a column at a time: round j puts the j-th symbol from the
-right of every string into the transform, at the row that the rank of the
-symbol gives, by one sequential pass from the file of the last round into the
-next. The prefixes that neighbouring rows share then show which strings have
-a long run of bytes in common.
+right of every string into the transform, and beside it the length of the
+prefix that its suffix shares with the row before. Both are files, read
+forward in chunks: one pass finds the rows and common prefixes of what is new,
+a second writes the files of the next round. Runs of rows with long common
+prefixes are the repeats.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,78 +24,140 @@ from pyspark.sql import DataFrame
 from . import kernel, rlz, routing
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-#: Rows per block of the rank directory.
-BLOCK = 128
+#: Rows of a file that are in memory at a time.
+CHUNK = 1 << 18
+
+
+def range_min(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least of x[left..right], both ends included, for each pair."""
+    out = np.empty(len(left), x.dtype)
+    level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
+    table = x
+    for k in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(table[left[own]], table[right[own] - (1 << k) + 1])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
 
 
-def directory(rows: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the blocks of BLOCK rows, and how often each symbol is in each."""
-    n_blocks = max(1, -(-len(rows) // BLOCK))
-    cell = np.repeat(np.arange(n_blocks) * sigma, BLOCK)[: len(rows)] + rows
-    return np.arange(n_blocks) * BLOCK, np.bincount(cell, minlength=n_blocks * sigma).astype(np.int32).reshape(n_blocks, sigma)
+class _Files:
+    """The transform and its common prefixes as two files, and the two of the next round."""
 
+    def __init__(self, folder: str, symbol: np.dtype, prefix: np.dtype):
+        self.paths = [[os.path.join(folder, f"{name}{i}") for name in ("bwt", "lcp")] for i in (0, 1)]
+        self.kinds, self.now = (symbol, prefix), 0
 
-def build(symbols: np.ndarray, offs: np.ndarray, folder: str) -> np.ndarray:
-    """The BWT of strings of symbols >= 1; string k ends with its own mark, the k-th smallest symbol.
+    def start(self, symbols: np.ndarray) -> None:
+        symbols.tofile(self.paths[0][0])
+        np.zeros(len(symbols), self.kinds[1]).tofile(self.paths[0][1])
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, symbols, common prefixes), forward through both files."""
+        at = 0
+        with open(self.paths[self.now][0], "rb") as a, open(self.paths[self.now][1], "rb") as b:
+            while len(x := np.fromfile(a, self.kinds[0], CHUNK)):
+                yield at, x, np.fromfile(b, self.kinds[1], CHUNK)
+                at += len(x)
+
+    def rewrite(self, parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
+        with open(self.paths[1 - self.now][0], "wb") as a, open(self.paths[1 - self.now][1], "wb") as b:
+            for x, y in parts:
+                x.tofile(a)
+                y.tofile(b)
+        self.now = 1 - self.now
+
+
+def transform(symbols: np.ndarray, offs: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The BWT of strings of symbols >= 1, and for each row the common prefix of its suffix and that of the row before.
 
-    A row that stands before a whole string holds 0. Only the file of the last
-    round and the one being written exist at a time. The directory of symbol
-    counts grows with the rows put into its blocks and is made anew when one
-    has become too large. Strings are kept in the order of their rows, so all
-    look-ups and the merge run forward.
+    String k ends with its own mark, the k-th smallest symbol; a row that
+    stands before a whole string holds 0. The k-th c in the transform stands
+    before the suffix whose row is the k-th of those that begin with c, and
+    two neighbours among these share one symbol more than all rows between
+    their places now. So a round reads, for each new suffix and for the one
+    behind it, the least common prefix since the symbol came last.
     """
     n, lens = len(offs) - 1, np.diff(offs)
     sigma = int(symbols.max(initial=0)) + 1
-    kind, longest = symbols.dtype, int(lens.max(initial=0))
-    last = np.zeros(n, kind)
+    longest = int(lens.max(initial=0))
+    last = np.zeros(n, symbols.dtype)
     some = lens > 0
     last[some] = symbols[offs[1:][some] - 1]
-    paths = [os.path.join(folder, f"bwt{i}") for i in (0, 1)]
-    last.tofile(paths[0])
+    files = _Files(folder, symbols.dtype, np.min_scalar_type(longest + 1))
+    files.start(last)
     at = who = np.flatnonzero(some)
-    begin, counts = directory(last, sigma)
+    counts = np.bincount(last, minlength=sigma)
     for j in range(1, longest + 1):
-        old = np.fromfile(paths[(j + 1) % 2], kind)
-        sizes = np.diff(begin, append=len(old))
-        if sizes.max() > 2 * BLOCK:
-            begin, counts = directory(old, sigma)
-            sizes = np.diff(begin, append=len(old))
-        symbol = old[at]
-        # Ranks: whole blocks from the directory, the rest of a block symbol by symbol.
-        before = np.cumsum(counts, axis=0, dtype=np.int32)
-        total = before[-1].astype(np.int64)
-        before -= counts
-        block = np.searchsorted(begin, at, "right") - 1
-        rank = before[block, symbol].astype(np.int64)
-        rest = at - begin[block]
-        width = (int(rest.max()) + 7) // 8 * 8 if len(rest) else 0
-        if width:
-            views = np.lib.stride_tricks.sliding_window_view(np.concatenate([old, np.zeros(width, kind)]), width)
-            inside = np.arange(width, dtype=np.int16)
-            for lo in range(0, len(at), 4096):
-                part = slice(lo, lo + 4096)
-                mine = views[begin[block[part]]] == symbol[part][:, None]
-                mine &= inside < rest[part][:, None].astype(np.int16)
-                rank[part] += np.bitwise_count(mine.view(np.uint64)).sum(axis=1, dtype=np.int64)
-        row = (np.cumsum(total) - total - total[0] + n)[symbol] + rank
-        order = np.argsort(symbol, kind="stable")
-        who, row = who[order], row[order]
-        head = np.zeros(len(who), kind)
+        new, after = _ranked(files, at, n, counts)
+        order = np.argsort(new[0], kind="stable")
+        row, shared, who = new[0][order], new[1][order], who[new[2][order]]
+        head = np.zeros(len(who), symbols.dtype)
         more = lens[who] > j
         head[more] = symbols[offs[1:][who[more]] - j - 1]
-        # The pass that writes the next file: old rows in order, new ones between.
-        put = np.ones(len(old) + len(who), bool)
-        put[row] = False
-        new = np.empty(len(put), kind)
-        new[put] = old
-        new[row] = head
-        new.tofile(paths[j % 2])
-        into = np.searchsorted(begin, row - np.arange(len(row)), "right") - 1
-        counts += np.bincount(into * sigma + head, minlength=counts.size).astype(np.int32).reshape(counts.shape)
-        grown = np.bincount(into, minlength=len(begin))
-        begin = begin + np.cumsum(grown) - grown
+        order = np.argsort(after[0], kind="stable")
+        files.rewrite(_merged(files, int(counts.sum()), row, head, shared, after[0][order], after[1][order]))
+        counts += np.bincount(head, minlength=sigma)
         at, who = row[more], who[more]
-    return np.fromfile(paths[longest % 2], kind)
+    bwt, lcp = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(zip(*((x, y) for _, x, y in files.chunks()), strict=True), files.kinds, strict=True)) if n else (last, last)
+    return bwt, lcp
+
+
+def _ranked(files: _Files, at: np.ndarray, n: int, counts: np.ndarray):
+    """One pass: (row, common prefix, number in `at`) of each new suffix, and (row, common prefix) of those behind one."""
+    sigma = len(counts)
+    first = np.cumsum(counts) - counts - counts[0] + n
+    seen, least, pending = np.zeros(sigma, np.int64), np.zeros(sigma, np.int64), np.zeros(sigma, bool)
+    new, after = [], []
+    for begin, symbol, shared in files.chunks():
+        size = len(symbol)
+        lo, hi = np.searchsorted(at, [begin, begin + size])
+        active = np.zeros(size, bool)
+        active[at[lo:hi] - begin] = True
+        order = np.argsort(symbol, kind="stable")
+        count = np.bincount(symbol, minlength=sigma)
+        start = np.cumsum(count) - count
+        here, sorted_symbol = active[order], symbol[order]
+        asked = here.copy()
+        asked[1:] |= here[:-1] & (sorted_symbol[1:] == sorted_symbol[:-1])
+        asked[start[pending & (count > 0)]] = True
+        k = np.flatnonzero(asked)
+        c, place = sorted_symbol[k], order[k]
+        opening = k == start[c]
+        value = range_min(shared, np.where(opening, 0, order[np.maximum(k - 1, 0)] + 1), place).astype(np.int64)
+        value = np.where(opening, np.minimum(value, least[c]), value) + 1
+        rank = seen[c] + k - start[c]
+        value[rank == 0] = 0
+        row = first[c] + rank
+        own = here[k]
+        new.append((row[own], value[own], lo + np.searchsorted(at[lo:hi], place[own] + begin)))
+        after.append((row[~own], value[~own]))
+        # What the next chunk has to know of each symbol: the least common prefix since it came last, and whether that was new.
+        has = np.flatnonzero(count)
+        latest = order[start[has] + count[has] - 1]
+        behind = np.append(np.minimum.accumulate(shared[::-1])[::-1].astype(np.int64), 1 << 40)
+        least = np.minimum(least, behind[0])
+        least[has], pending[has] = behind[latest + 1], active[latest]
+        seen += count
+    return tuple(np.concatenate(x) for x in zip(*new, strict=True)), tuple(np.concatenate(x) for x in zip(*after, strict=True))
+
+
+def _merged(files: _Files, total: int, row: np.ndarray, head: np.ndarray, shared: np.ndarray, row_after: np.ndarray, shared_after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The other pass: the old rows in order with the new ones between, and common prefixes that those change."""
+    before = row - np.arange(len(row))
+    done = 0
+    for begin, x, y in files.chunks():
+        until = int(np.searchsorted(before, begin + len(x))) if begin + len(x) < total else len(row)
+        into = before[done:until] - begin
+        x, y = np.insert(x, into, head[done:until]), np.insert(y, into, shared[done:until])
+        a, b = np.searchsorted(row_after, [begin + done, begin + done + len(x)])
+        y[row_after[a:b] - begin - done] = shared_after[a:b]
+        done = until
+        yield x, y
+
+
+def build(symbols: np.ndarray, offs: np.ndarray, folder: str) -> np.ndarray:
+    """The transform alone."""
+    return transform(symbols, offs, folder)[0]
 
 
 def suffix_rows(bwt: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -115,26 +179,22 @@ def resolve(flat: np.ndarray, lens: np.ndarray, docs: np.ndarray, length: int):
     used[flat] = True
     code = np.cumsum(used)
     symbols = code.astype(np.uint16 if used.all() else np.uint8)[flat]
+    # The task's own folder: it goes with the task, and a task that is done again makes its own.
     with tempfile.TemporaryDirectory() as folder:
-        bwt = build(symbols, offs, folder)
+        bwt, lcp = transform(symbols, offs, folder)
     rows = suffix_rows(bwt, lens)
     n_windows = np.maximum(0, lens - length + 1)
     seg = np.repeat(np.arange(len(lens)), n_windows)
     if not len(seg):
         return (np.empty(0, np.int64),) * 3
     where = kernel.spread(offs[:-1], n_windows)
-    # Suffixes of `length` symbols or more in the order of the transform: those
-    # with a common prefix of that length are neighbours.
-    order = np.empty(len(bwt), np.int32)
-    order.fill(-1)
+    # Rows whose common prefixes are long enough all along begin with the same `length` symbols.
+    group = np.cumsum(lcp < length)
+    order = np.full(len(bwt), -1, np.int32)
     order[rows[offs[1:][seg] - where, seg]] = np.arange(len(seg), dtype=np.int32)
-    order = order[order >= 0]
-    view = np.lib.stride_tricks.sliding_window_view(flat, length)
+    group, order = group[order >= 0], order[order >= 0]
     new = np.ones(len(order), bool)
-    for lo in range(1, len(order), 1 << 16):
-        part = where[order[lo - 1 : lo + (1 << 16)]]
-        got = view[part]
-        new[lo : lo + (1 << 16)] = (got[1:] != got[:-1]).any(axis=1)
+    new[1:] = group[1:] != group[:-1]
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(docs[seg[order]], first)[np.cumsum(new) - 1]
     hit = np.zeros(len(seg), bool)
@@ -158,8 +218,10 @@ def dedup_bytes(docs: DataFrame, length: int = 50) -> DataFrame:
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary:
     what stays may not be UTF-8), a row for each row of docs (doc_id, text;
-    other columns are ignored). Null text is empty. A null doc_id counts as
-    smaller than any other. Rows with one doc_id never remove each other's
-    bytes; repeated rows get equal results.
+    other columns, whatever their names, are ignored). Null text is empty; an
+    empty table gives an empty one; texts of any length are read whole. A null
+    doc_id counts as smaller than any other. Rows with one doc_id never remove
+    each other's bytes, so of tied copies under one id all stay; repeated rows
+    get equal results.
     """
     return routing.repeated(docs, False, length, min(22, length), resolve, finish, SCHEMA)

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import kernel
 
-#: Bytes of stored input per group of texts.
-GROUP_BYTES = 2_500_000
+#: Bytes of text per group.
+GROUP_BYTES = 6_000_000
 #: Windows of one segment at most; keeps runs of junk from making long segments.
 LONGEST_RUN = 36
 NULL_ID = -(1 << 63)
@@ -44,30 +44,47 @@ RANGES = "g int, doc binary, start binary, end binary"
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate from file sizes; where there is none, or one beyond 1 PB, the size of all texts."""
-    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return told if told < 1 << 50 else int(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0])
+    """Bytes of all texts: one pass over the column."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0])
 
 
 class Units:
-    """Texts as one flat sequence of units with offsets per row."""
+    """Texts as one flat sequence of units (hashes of words, or bytes) with offsets per row."""
 
     def __init__(self, texts, by_word: bool):
-        data, offs = kernel.text_buffers(texts)
+        self.data, offs = kernel.text_buffers(texts)
+        self.by_word = by_word
         if by_word:
-            self.size, parts, counts = 8, [], []
+            self.size, parts, counts, edges = 8, [], [], []
             for i, j in kernel.slices(offs):
-                own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                own, at = self.data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 starts, ends, first = kernel.words(own, at)
                 parts.append(kernel.hashes(own, starts, ends))
+                edges.append(np.stack([starts, ends]) + offs[i])
                 counts.append(np.diff(first))
             self.flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            self.starts, self.ends = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
             self.offs = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64) if counts else np.zeros(1, np.int64)
             self.values = self.flat
         else:
-            self.size, self.flat, self.offs = 1, data, offs
+            self.size, self.flat, self.offs = 1, self.data, offs
             self.values = None
 
+    def exact(self) -> np.ndarray:
+        """The units as values that are equal only where their bytes are."""
+        return kernel.told_apart(self.data, self.starts, self.ends, self.flat) if self.by_word else self.flat
+
+    def content(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes of runs of units, one after the other; each run of words ends with a space."""
+        if not self.by_word:
+            return self.flat[kernel.spread(start, size)]
+        if not len(start):
+            return np.empty(0, np.uint8)
+        begin, lens = self.starts[start], self.ends[start + size - 1] - self.starts[start]
+        out = np.full(int((lens + 1).sum()), 0x20, np.uint8)
+        out[kernel.spread(np.cumsum(lens + 1) - lens - 1, lens)] = self.data[kernel.spread(begin, lens)]
+        return out
+
     def prefix(self, i: int, j: int) -> kernel.Prefix:
         own = self.flat[self.offs[i] : self.offs[j]]
         return kernel.Prefix(kernel.BYTE[own] if self.values is None else own)
@@ -165,17 +182,24 @@ def _blobs(column) -> np.ndarray:
 
 
 def packed(flat: np.ndarray) -> bytes:
-    """Bytes of text shrink well; hashes of words don't and go as they are."""
-    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes()) if flat.dtype == np.uint8 else flat.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
 
 
-def unpacked(data, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if kind is np.uint8 else data, kind)
+def unpacked(data) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
 
 
-def send_segments(by_word: bool, length: int, gram: int, n_buckets: int):
-    kind = np.uint64 if by_word else np.uint8
+def received(contents: list[np.ndarray], by_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all contents: as values that are equal only where their bytes are, and as anchors are made of them."""
+    data = np.concatenate(contents)
+    if not by_word:
+        return data, data
+    starts, ends, _ = kernel.words(data, np.array([0, len(data)]))
+    h = kernel.hashes(data, starts, ends)
+    return kernel.mix(kernel.told_apart(data, starts, ends, h).astype(np.uint64)), h
+
 
+def send_segments(by_word: bool, length: int, gram: int, n_buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
         out = {x: [] for x in names}
@@ -209,8 +233,9 @@ def send_segments(by_word: bool, length: int, gram: int, n_buckets: int):
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             # Hashes only propose: what differs from the head of its class stands alone.
             rest = np.flatnonzero(~new)
-            a, b = units.flat[kernel.spread(start[rest], size[rest])], units.flat[kernel.spread(start[head[rest]], size[rest])]
             if len(rest):
+                exact = units.exact()
+                a, b = exact[kernel.spread(start[rest], size[rest])], exact[kernel.spread(start[head[rest]], size[rest])]
                 differs = np.add.reduceat((a != b).astype(np.int64), np.cumsum(size[rest]) - size[rest]) > 0
                 new[rest[differs]] = True
                 head[rest[differs]] = rest[differs]
@@ -225,7 +250,7 @@ def send_segments(by_word: bool, length: int, gram: int, n_buckets: int):
                 place[segs] = np.arange(len(segs))
                 out["bucket"].append(int(bucket[own[0]]))
                 out["g"].append(g)
-                out["content"].append(packed(units.flat[kernel.spread(start[segs], size[segs])].astype(kind)))
+                out["content"].append(packed(units.content(start[segs], size[segs])))
                 for name, x, t in (("lens", size[segs], np.uint16), ("docs", docs[segs], np.int64), ("occ_seg", place[head[occ]], np.uint32), ("occ_doc", row[occ], np.uint32), ("occ_start", at[occ], np.uint32), ("done_doc", row[gone], np.uint32), ("done_start", at[gone], np.uint32), ("done_end", at[gone] + size[gone], np.uint32)):
                     out[name].append(x.astype(t).tobytes())
         return pa.table({x: pa.array(out[x], pa.int32() if x in ("bucket", "g") else pa.binary()) for x in names})
@@ -264,17 +289,15 @@ def partnered(flat: np.ndarray, start: np.ndarray, lens: np.ndarray, gram: int)
 
 
 def answer_segments(by_word: bool, length: int, gram: int, resolve: Callable):
-    kind = np.uint64 if by_word else np.uint8
-
     def run(table: pa.Table) -> pa.Table:
         parts = {name: [np.frombuffer(x.as_buffer(), t) for x in table[name]] for name, t in (("lens", np.uint16), ("docs", np.int64))}
-        parts["content"] = [unpacked(x.as_buffer(), kind) for x in table["content"]]
-        flat, lens, docs = (np.concatenate(parts[x]) for x in ("content", "lens", "docs"))
+        flat, hashed = received([unpacked(x.as_buffer()) for x in table["content"]], by_word)
+        lens, docs = (np.concatenate(parts[x]) for x in ("lens", "docs"))
         lens = lens.astype(np.int64)
         head, copy = fold(flat, lens, docs)
         at = np.cumsum(lens) - lens
         own = np.flatnonzero(head == np.arange(len(lens)))
-        own = own[partnered(flat, at[own], lens[own], gram)]
+        own = own[partnered(hashed, at[own], lens[own], gram)]
         own_seg, own_first, own_last = resolve(flat[kernel.spread(at[own], lens[own])], lens[own], docs[own], length)
         # What holds for a string holds for its copies; a copy in a later document is a repeat as a whole.
         place = np.full(len(lens), -1, np.int64)
