@@ -16,6 +16,7 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +33,57 @@ def range_min(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least of x[left..right], both ends included, for each pair."""
     out = np.empty(len(left), x.dtype)
     level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
+    long = np.flatnonzero(level > 6)
+    np.minimum(level, 6, out=level)
     table = x
     for k in range(int(level.max(initial=-1)) + 1):
         own = np.flatnonzero(level == k)
         out[own] = np.minimum(table[left[own]], table[right[own] - (1 << k) + 1])
-        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+        if k < 6:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    if len(long):
+        # Between the first and the last 64 places, whole blocks of 64.
+        blocks = x[: len(x) // 64 * 64].reshape(-1, 64).min(axis=1)
+        first, last = (left[long] + 63) // 64, (right[long] + 1) // 64 - 1
+        some = np.flatnonzero(first <= last)
+        first, last, long = first[some], last[some], long[some]
+        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        for k in range(int(level.max(initial=-1)) + 1):
+            own = np.flatnonzero(level == k)
+            out[long[own]] = np.minimum(out[long[own]], np.minimum(blocks[first[own]], blocks[last[own] - (1 << k) + 1]))
+            blocks = np.minimum(blocks[: -(1 << k)], blocks[1 << k :])
     return out
 
 
 class _Files:
     """The transform and its common prefixes as two files, and the two of the next round."""
 
-    def __init__(self, folder: str, symbol: np.dtype, prefix: np.dtype):
-        self.paths = [[os.path.join(folder, f"{name}{i}") for name in ("bwt", "lcp")] for i in (0, 1)]
+    def __init__(self, stack: ExitStack, folder: str, symbol: np.dtype, prefix: np.dtype):
+        self.held = [[stack.enter_context(open(os.path.join(folder, f"{name}{i}"), "w+b", 0)) for name in ("bwt", "lcp")] for i in (0, 1)]
         self.kinds, self.now = (symbol, prefix), 0
 
     def start(self, symbols: np.ndarray) -> None:
-        symbols.tofile(self.paths[0][0])
-        np.zeros(len(symbols), self.kinds[1]).tofile(self.paths[0][1])
+        symbols.tofile(self.held[0][0])
+        np.zeros(len(symbols), self.kinds[1]).tofile(self.held[0][1])
 
     def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, symbols, common prefixes), forward through both files."""
+        a, b = self.held[self.now]
+        a.seek(0)
+        b.seek(0)
         at = 0
-        with open(self.paths[self.now][0], "rb") as a, open(self.paths[self.now][1], "rb") as b:
-            while len(x := np.fromfile(a, self.kinds[0], CHUNK)):
-                yield at, x, np.fromfile(b, self.kinds[1], CHUNK)
-                at += len(x)
+        while len(x := np.fromfile(a, self.kinds[0], CHUNK)):
+            yield at, x, np.fromfile(b, self.kinds[1], CHUNK)
+            at += len(x)
 
     def rewrite(self, parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> None:
-        with open(self.paths[1 - self.now][0], "wb") as a, open(self.paths[1 - self.now][1], "wb") as b:
-            for x, y in parts:
-                x.tofile(a)
-                y.tofile(b)
+        a, b = self.held[1 - self.now]
+        for x in (a, b):
+            x.seek(0)
+            x.truncate()
+        for x, y in parts:
+            x.tofile(a)
+            y.tofile(b)
         self.now = 1 - self.now
 
 
@@ -83,23 +103,26 @@ def transform(symbols: np.ndarray, offs: np.ndarray, folder: str) -> tuple[np.nd
     last = np.zeros(n, symbols.dtype)
     some = lens > 0
     last[some] = symbols[offs[1:][some] - 1]
-    files = _Files(folder, symbols.dtype, np.min_scalar_type(longest + 1))
-    files.start(last)
-    at = who = np.flatnonzero(some)
-    counts = np.bincount(last, minlength=sigma)
-    for j in range(1, longest + 1):
-        new, after = _ranked(files, at, n, counts)
-        order = np.argsort(new[0], kind="stable")
-        row, shared, who = new[0][order], new[1][order], who[new[2][order]]
-        head = np.zeros(len(who), symbols.dtype)
-        more = lens[who] > j
-        head[more] = symbols[offs[1:][who[more]] - j - 1]
-        order = np.argsort(after[0], kind="stable")
-        files.rewrite(_merged(files, int(counts.sum()), row, head, shared, after[0][order], after[1][order]))
-        counts += np.bincount(head, minlength=sigma)
-        at, who = row[more], who[more]
-    bwt, lcp = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(zip(*((x, y) for _, x, y in files.chunks()), strict=True), files.kinds, strict=True)) if n else (last, last)
-    return bwt, lcp
+    with ExitStack() as stack:
+        files = _Files(stack, folder, symbols.dtype, np.min_scalar_type(longest + 1))
+        files.start(last)
+        at = who = np.flatnonzero(some)
+        counts = np.bincount(last, minlength=sigma)
+        for j in range(1, longest + 1):
+            new, after = _ranked(files, at, n, counts)
+            order = np.argsort(new[0], kind="stable")
+            row, shared, who = new[0][order], new[1][order], who[new[2][order]]
+            head = np.zeros(len(who), symbols.dtype)
+            more = lens[who] > j
+            head[more] = symbols[offs[1:][who[more]] - j - 1]
+            order = np.argsort(after[0], kind="stable")
+            files.rewrite(_merged(files, int(counts.sum()), row, head, shared, after[0][order], after[1][order]))
+            counts += np.bincount(head, minlength=sigma)
+            at, who = row[more], who[more]
+        parts = [(x, y) for _, x, y in files.chunks()]
+    if not parts:
+        return last, np.zeros(0, files.kinds[1])
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _ranked(files: _Files, at: np.ndarray, n: int, counts: np.ndarray):
@@ -114,16 +137,26 @@ def _ranked(files: _Files, at: np.ndarray, n: int, counts: np.ndarray):
         active = np.zeros(size, bool)
         active[at[lo:hi] - begin] = True
         order = np.argsort(symbol, kind="stable")
-        count = np.bincount(symbol, minlength=sigma)
-        start = np.cumsum(count) - count
-        here, sorted_symbol = active[order], symbol[order]
+        sorted_symbol = symbol[order]
+        start = np.searchsorted(sorted_symbol, np.arange(sigma + 1))
+        start, count = start[:-1], np.diff(start)
+        # New suffixes, and those behind one among the suffixes that begin with the same symbol.
+        here = active[order]
+        k = np.flatnonzero(here)
+        behind = k[k + 1 < size] + 1
+        behind = behind[sorted_symbol[behind] == sorted_symbol[behind - 1]]
         asked = here.copy()
-        asked[1:] |= here[:-1] & (sorted_symbol[1:] == sorted_symbol[:-1])
+        asked[behind] = True
         asked[start[pending & (count > 0)]] = True
         k = np.flatnonzero(asked)
         c, place = sorted_symbol[k], order[k]
         opening = k == start[c]
-        value = range_min(shared, np.where(opening, 0, order[np.maximum(k - 1, 0)] + 1), place).astype(np.int64)
+        # Asked with them for each symbol: the least common prefix behind its last place, for the next chunk.
+        has = np.flatnonzero(count)
+        latest = order[start[has] + count[has] - 1]
+        inner = latest + 1 < size
+        value = range_min(shared, np.concatenate([np.where(opening, 0, order[np.maximum(k - 1, 0)] + 1), latest[inner] + 1]), np.concatenate([place, np.full(int(inner.sum()), size - 1)])).astype(np.int64)
+        value, carried = value[: len(k)], value[len(k) :]
         value = np.where(opening, np.minimum(value, least[c]), value) + 1
         rank = seen[c] + k - start[c]
         value[rank == 0] = 0
@@ -131,12 +164,10 @@ def _ranked(files: _Files, at: np.ndarray, n: int, counts: np.ndarray):
         own = here[k]
         new.append((row[own], value[own], lo + np.searchsorted(at[lo:hi], place[own] + begin)))
         after.append((row[~own], value[~own]))
-        # What the next chunk has to know of each symbol: the least common prefix since it came last, and whether that was new.
-        has = np.flatnonzero(count)
-        latest = order[start[has] + count[has] - 1]
-        behind = np.append(np.minimum.accumulate(shared[::-1])[::-1].astype(np.int64), 1 << 40)
-        least = np.minimum(least, behind[0])
-        least[has], pending[has] = behind[latest + 1], active[latest]
+        # What the next chunk has to know of each symbol: that prefix, and whether its last place was that of a new suffix.
+        least = np.minimum(least, int(shared.min()))
+        least[has], pending[has] = 1 << 40, active[latest]
+        least[has[inner]] = carried
         seen += count
     return tuple(np.concatenate(x) for x in zip(*new, strict=True)), tuple(np.concatenate(x) for x in zip(*after, strict=True))
 
