@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import cut
+from .skew import join_unique
+
 #: A chunk ends behind a line where the rolling hash is divisible by this: its mean number of lines.
 DIVISOR = 3
-_NO_ID = -(1 << 63)
 
 
 def line_hash(line: Column) -> Column:
@@ -41,31 +43,46 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     Of the chunks of two lines or more that are equal byte for byte anywhere,
     the first stays: in the smallest doc_id, there the earliest. Blank lines
-    are lines like others. A null text stays null with no lines; a null doc_id
-    comes before all others. Equal rows are treated alike. Texts from which
-    nothing is removed stay as they are. Columns named like the new ones are
-    replaced.
-
-    Hashes propose repeats, so only the texts of proposed chunks are shuffled;
-    these are grouped by their bytes.
+    are lines like others. A null text stays null with no lines, an empty one
+    has one blank line; texts of any length are cut whole. A null doc_id comes
+    before all others. Ties and equal rows are treated alike. Texts from which
+    nothing is removed stay as they are; an empty table gives an empty one.
+    Columns named like the two new ones are replaced; others may have any name.
+
+    Hashes propose repeats and are written once; only the texts of proposed
+    chunks are shuffled and grouped by their bytes. Frequent chunks are
+    counted before any shuffle and joined back without one.
     """
     docs = docs.drop("n_lines", "n_lines_removed")
-    held = docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64("text").alias("__th"))
-    rows = held.select("__id", "__th", F.col("text").alias("__text"))
-    key = ["__id", "__th"]
-    pieces = rows.select(*key, F.posexplode(chunks(F.col("__text"), divisor)).alias("no", "c")).where("c.n > 1").select(*key, "no", F.xxhash64("c.text").alias("h"))
-    shared = pieces.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    wanted = pieces.join(shared, "h").groupBy(*key).agg(F.collect_set("no").alias("wanted"))
-    texts = rows.join(wanted, key).dropDuplicates(key).withColumn("__parts", chunks(F.col("__text"), divisor))
-    texts = texts.select(*key, F.explode(F.transform("wanted", lambda no: F.struct(no.alias("no"), F.get("__parts", no)["text"].alias("text")))).alias("w"))
-    texts = texts.select(*key, "w.no", "w.text")
-    # Grouping by the text itself is the comparison of bytes.
-    first = texts.groupBy("text").agg(F.min(F.struct(*key, "no")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    gone = texts.join(first, "text").where(F.struct(*key, "no") > F.col("first")).groupBy(*key).agg(F.sort_array(F.collect_set("no")).alias("__gone"))
-    out = held.join(gone, key, "left").withColumn("__parts", F.when(F.col("__gone").isNotNull(), chunks(F.col("text"), divisor)))
-    out = out.withColumn("__kept", F.filter("__parts", lambda c, k: ~F.array_contains("__gone", k)))
+    key = ["no_id", "id", "th"]
+    # A row's own columns stay in one struct, so that no inner name meets one of them.
+    held = docs.select(F.struct(*docs.columns).alias("row"))
+    held = held.select(F.col("row.doc_id").isNull().alias("no_id"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("row.text").alias("th"), "row")
+    rows = held.select(*key, F.col("row.text").alias("text"))
+    pieces = cut(rows.select(*key, F.posexplode(chunks(F.col("text"), divisor)).alias("no", "c")).where("c.n > 1").select(*key, "no", F.xxhash64("c.text").alias("h")))
+    total = pieces.count()
+    shared = pieces.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    proposed = cut(join_unique(pieces, shared, ["h"], "times", total).select(*key, "no", "h"))
+    wanted = proposed.groupBy(*key).agg(F.collect_set(F.struct("no", "h")).alias("wanted"))
+    texts = rows.join(wanted, key).dropDuplicates(key).withColumn("parts", chunks(F.col("text"), divisor))
+    texts = texts.select(*key, F.explode(F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), F.get("parts", w["no"])["text"].alias("text")))).alias("w"))
+    # Grouping by the text itself is the comparison of bytes; the first occurrence of each text stays.
+    place = F.struct((~F.col("no_id")).alias("with_id"), "id", "th", "no")
+    kinds = cut(texts.groupBy("w.h", "w.text").agg(F.min(F.struct((~F.col("no_id")).alias("with_id"), "id", "th", F.col("w.no").alias("no"))).alias("first"), F.count("*").alias("times")).select("h", F.xxhash64(F.lit(1), "text").alias("h1"), "first", "times"))
+    by_hash = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.struct("first", "times")).alias("only"))
+    alone = by_hash.where("kinds = 1 and only.times > 1").select("h", "only.first", "only.times")
+    gone = join_unique(proposed.distinct(), alone, ["h"], "times", total).where(place > F.col("first")).select(*key, "no")
+    if by_hash.where("kinds > 1").limit(1).count():
+        # Different texts with one hash, which the bytes told apart: their texts are joined themselves.
+        mixed = texts.select(*key, "w.no", "w.h", "w.text").join(by_hash.where("kinds > 1").select("h"), "h", "left_semi")
+        first = mixed.groupBy("text").agg(F.min(place).alias("first"))
+        gone = gone.unionByName(mixed.join(first, "text").where(place > F.col("first")).select(*key, "no"))
+    gone = gone.groupBy(*key).agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    out = held.join(gone, key, "left").withColumn("parts", F.when(F.col("gone").isNotNull(), chunks(F.col("row.text"), divisor)))
+    out = out.withColumn("kept", F.filter("parts", lambda c, k: ~F.array_contains("gone", k)))
     count = lambda parts: F.aggregate(F.transform(parts, lambda c: c["n"]), F.lit(0), lambda a, b: a + b)
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
-    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(count("__parts") - count("__kept"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), n_lines.cast("long").alias("n_lines"), n_gone.cast("long").alias("n_lines_removed"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("kept", lambda c: c["text"]), "\n"))
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(count("parts") - count("kept"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1)))
+    columns = [(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
+    return out.select(*columns, n_lines.cast("long").alias("n_lines"), n_gone.cast("long").alias("n_lines_removed"))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
+from .skew import HOT_KEYS, HOT_ROWS
 
 #: A document is taken this often at most, and a source's target is this many times its size at most.
 CAP = 3
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Up to so many sources (some 100 bytes each) go to every task.
+#: Up to so many sources (some 200 bytes each) go to every task.
 FEW_SOURCES = 50_000
 #: Classes of rank that the running sums of a source are first taken over.
 BINS = 4096
@@ -39,6 +40,22 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return rows.withColumn("target", F.least(full, F.coalesce("fixed", F.lit(0.0)) * F.col("weight"))).drop("room", "level", "fixed")
 
 
+def _by_source(rows: DataFrame, sources: DataFrame, few: bool, total: int) -> DataFrame:
+    """rows with the columns of their source, for each of which `sources` has one row with its number of rows, `n`.
+
+    If there are few sources all go to every task. Else those with many rows
+    do, so that no task of the shuffle gets a whole large source.
+    """
+    by = ["no_source", "some_source"]
+    if few:
+        return rows.join(F.broadcast(sources.drop("n")), by)
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = sources.where(F.col("n") > least)
+    warm = rows.join(F.broadcast(hot.drop("n")), by)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(sources.where(F.col("n") <= least).drop("n"), by)
+    return warm.unionByName(cold)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None = None, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target and copies.
 
@@ -49,41 +66,54 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None
     are ranked by (u / (1 - u)) / (p / (1 - p)), and the first are taken until
     the words of the source come as near its target as whole documents allow.
 
-    Null text has size 0 and a null source is a source of its own. Rows with
-    one doc_id have one rank. Columns of docs with the names of results are
-    replaced.
+    Null and empty texts have size 0, long ones are counted whole, and a null
+    source is a source of its own. Rows with one doc_id have one rank; ties of
+    rank go by doc_id, null first, and repeated rows get one number of copies.
+    An empty table gives an empty one. Columns of docs with the names of
+    results are replaced; others may have any name.
+
+    Only narrow rows are shuffled: where the ranked documents of a source
+    stop is one row per source, which its documents are then held against.
     """
     new = ["size", "source_size", "target", "copies"]
+    by = ["no_source", "some_source"]
     docs = docs.drop(*new)
     favour = F.lit(1.0) if favour is None else F.coalesce(favour.cast("double"), F.lit(0.0))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keys = [F.col("source").isNull().alias("__no_source"), F.coalesce("source", F.lit("")).alias("__some_source")]
-    rows = cut(docs.select(F.col("doc_id").alias("__doc"), *keys, size.alias("size"), u.alias("__u"), favour.alias("__favour")))
-    by = ["__no_source", "__some_source"]
-    sources = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__favour")).alias("favoured"))
-    sources = targets(sources.withColumn("source", F.when(~F.col("__no_source"), F.col("__some_source"))), weights, cap)
-    sources = cut(sources.select(*by, "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("__rate")))
-    # One row per source: sent to all tasks if there are few, so that no task gets a whole source.
-    spread = F.broadcast if sources.count() <= FEW_SOURCES else (lambda df: df)
-    expected = F.least(F.col("__rate") * F.col("__favour"), F.lit(float(cap)))
-    ranked = rows.join(spread(sources), by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
-    rank = F.when(F.col("__p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p"))))
-    ranked = ranked.withColumn("__rank", rank).withColumn("__bin", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BINS))
+    # A row's own columns stay in one struct, so that no inner name meets one of them.
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    keys = [F.col("row.source").isNull().alias("no_source"), F.coalesce("row.source", F.lit("")).alias("some_source")]
+    held = docs.select(F.struct(*docs.columns).alias("row"), favour.alias("favour"))
+    held = held.select("row", *keys, F.col("row.doc_id").alias("doc"), size.alias("size"), u.alias("u"), "favour")
+    rows = cut(held.drop("row"))
+    sources = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("favour")).alias("favoured"), F.count("*").alias("n"))
+    sources = targets(sources.withColumn("source", F.when(~F.col("no_source"), F.col("some_source"))), weights, cap)
+    sources = cut(sources.select(*by, "n", "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("rate")))
+    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = n_sources <= FEW_SOURCES
+    expected = F.least(F.col("rate") * F.col("favour"), F.lit(float(cap)))
+
+    def ranked(table: DataFrame) -> DataFrame:
+        table = table.withColumns({"whole": F.floor(expected), "p": expected - F.floor(expected)})
+        table = table.withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+        return table.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+
+    narrow = ranked(_by_source(rows, sources, few, total))
     # Running sums in two steps: over at most BINS classes of each source, then inside the one class where the sum crosses.
-    bins = ranked.groupBy(*by, "__bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("__whole")).alias("sure"))
+    bins = narrow.groupBy(*by, "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"), F.count("*").alias("rows"))
     each = Window.partitionBy(*by)
-    bins = bins.withColumn("left", F.sum("sure").over(each)).join(sources.select(*by, "target"), by).withColumn("left", F.col("target") - F.col("left")).where("__bin is not null")
-    upto = F.sum("words").over(each.orderBy("__bin"))
-    bins = bins.withColumn("upto", upto)
-    crossing = bins.where("upto >= left").groupBy(*by).agg(F.min_by(F.struct("__bin", F.col("left"), (F.col("upto") - F.col("words")).alias("under")), "__bin").alias("c"))
-    edge = ranked.where("__p > 0").join(spread(crossing), by).where("__bin = c.__bin").select("__doc", *by, "size", "__rank", "c")
-    running = F.sum("size").over(Window.partitionBy(*by).orderBy("__rank", "__doc"))
-    edge = edge.withColumn("__in_edge", F.col("c.under") + running - F.col("size") / 2 <= F.col("c.left")).where("__in_edge").select("__doc", *by, "__in_edge").distinct()
-    level = sources.join(crossing.select(*by, F.col("c.__bin").alias("__edge_bin")), by, "left")
-    out = docs.withColumns({"__no_source": F.col("source").isNull(), "__some_source": F.coalesce("source", F.lit("")), "size": size, "__u": u, "__favour": favour})
-    out = out.join(spread(level), by).withColumn("__whole", F.floor(expected)).withColumn("__p", expected - F.floor(expected))
-    out = out.withColumn("__rank", rank).withColumn("__bin", F.floor(F.col("__rank") / (1 + F.col("__rank")) * BINS))
-    out = out.join(edge, (out.doc_id.eqNullSafe(edge["__doc"])) & (out["__no_source"] == edge["__no_source"]) & (out["__some_source"] == edge["__some_source"]), "left")
-    more = (F.col("__p") > 0) & (F.col("__bin") < F.coalesce("__edge_bin", F.lit(BINS + 1))) | F.coalesce("__in_edge", F.lit(False))
-    return out.select(*(docs[c] for c in docs.columns), "size", "source_size", "target", (F.col("__whole") + more.cast("long")).alias("copies"))
+    bins = bins.withColumn("left", F.col("target") - F.sum("sure").over(each)).where("bin is not null")
+    bins = bins.withColumn("upto", F.sum("words").over(each.orderBy("bin")))
+    crossing = bins.where("upto >= left").groupBy(*by).agg(F.min_by(F.struct(F.col("bin").alias("edge"), F.col("left").alias("room"), (F.col("upto") - F.col("words")).alias("under")), "bin").alias("c"))
+    stops = cut(sources.select(*by, "n").join(crossing, by, "left").select(*by, "n", "c.*"))
+    edge = _by_source(narrow.where("p > 0").select(*by, "doc", "size", "rank", "bin"), stops, few, total).where("bin = edge")
+    running = F.col("under") + F.sum("size").over(Window.partitionBy(*by).orderBy("rank", "doc"))
+    # Taken is what comes in order up to a last document; among rows that tie with it, those that are long enough.
+    taken = edge.withColumn("running", running).where(F.col("running") - F.col("size") / 2 <= F.col("room"))
+    last = taken.groupBy(*by).agg(F.max(F.struct("rank", "doc", (-F.col("size")).alias("less"))).alias("last"))
+    level = cut(sources.join(stops.select(*by, "edge"), by, "left").join(last, by, "left"))
+    out = ranked(_by_source(held, level, few, total))
+    at, stop = F.struct("rank", "doc", (-F.col("size")).alias("less")), F.col("last")
+    inside = F.coalesce((F.col("bin") == F.col("edge")) & (at <= stop), F.lit(False))
+    more = (F.col("p") > 0) & ((F.col("bin") < F.coalesce("edge", F.lit(BINS + 1))) | inside)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns), "size", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"))
