@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
+from .skew import join_unique
 
 BITS = 128
 #: Words of a term: a run of five, or what there is of it at the start of a text.
@@ -15,6 +16,8 @@ TERM = 5
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows per bucket of the order by doc_id, and quantiles that the buckets follow.
 BUCKET_ROWS, QUANTILES = 1024, 64
+#: Bits in which near fingerprints differ at most, queries' share of doc_ids, and tasks that each key of a block table is split over.
+RADIUS, EVERY, SALTS = 3, 50, 8
 #: Eight counters of one byte in a long, for blocks of so many terms; then two of 32 bits.
 _BYTES, BLOCK_TERMS = 0x0101010101010101, 127
 _WHITE = " \t\n\x0b\x0c\r"
@@ -79,22 +82,23 @@ def likeness(a: str, b: str, bits: int = BITS) -> Column:
     return 1 - distance(a, b, bits) / F.lit(float(bits))
 
 
-def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None, bits: int = BITS) -> DataFrame:
+def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS, salts: int = SALTS) -> DataFrame:
     """(query, fingerprint, distance) for all prints within the radius of each query (column fingerprint).
 
-    Both are cut into `blocks` blocks of hex digits (radius + 3 unless given).
+    Both are cut into `blocks` blocks of hex digits (radius + 1 unless given).
     A pair within the radius differs in at most `radius` blocks, so it agrees
     in all others, and for each choice of blocks that may differ there is a
     table keyed by the rest. Equal fingerprints are folded first, so copies
-    make no pairs; the tables are joined by their keys.
+    make no pairs; the tables are joined by their keys, each key split over
+    `salts` tasks. Null fingerprints are near nothing.
     """
-    blocks = radius + 3 if blocks is None else blocks
+    blocks = radius + 1 if blocks is None else blocks
     digits = bits // 4
     cuts = [digits * k // blocks for k in range(blocks + 1)]
     keys = F.array(*(F.xxhash64(F.lit(t), *(F.substring("fingerprint", cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in kept)) for t, kept in enumerate(combinations(range(blocks), blocks - radius))))
-    tables = prints.select("fingerprint").where("fingerprint is not null").distinct().select("fingerprint", F.explode(keys).alias("key"))
-    asked = queries.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias("query"), F.explode(keys).alias("key"))
-    pairs = asked.join(tables, "key").withColumn("distance", distance("query", "fingerprint", bits)).where(F.col("distance") <= radius)
+    tables = prints.select("fingerprint").where("fingerprint is not null").distinct().select("fingerprint", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)).alias("salt"), F.explode(keys).alias("key"))
+    asked = queries.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias("query"), F.explode(keys).alias("key")).select("query", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    pairs = asked.join(tables, ["key", "salt"]).withColumn("distance", distance("query", "fingerprint", bits)).where(F.col("distance") <= radius)
     return pairs.select("query", "fingerprint", "distance").distinct()
 
 
@@ -143,33 +147,90 @@ def following(rows: DataFrame, order: list, columns: list[str]) -> DataFrame:
     return rows.join(first, "bucket", "left").withColumns({f"next_{c}": F.coalesce(f"next_{c}", f"first_{c}")[c] for c in columns}).drop("__rank", *(f"first_{c}" for c in columns))
 
 
-def edited_fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Fingerprints of docs (doc_id, text) and of their edited texts.
+KEY = ["no_id", "id", "th", "n"]
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """The distinct keys (no_id, id, th, n) of rows in their order, each with `times`, its number of rows, and the next key.
+
+    Null ids come first, then ids rise; the texts of one id go by hash and
+    length. The first key follows the last. Only keys are shuffled: those of
+    an id that has many are split by their hash, and ids are ordered apart.
+    """
+    own = cut(rows.groupBy(*KEY).agg(F.count("*").alias("times")))
+    many = own.groupBy("no_id", "id").agg(F.count("*").alias("texts"))
+    own = join_unique(own, many, ["no_id", "id"], "texts", own.count())
+    parts = F.ceil(F.col("texts") / BUCKET_ROWS)
+    own = own.withColumn("part", F.least(F.floor((F.col("th") / 2.0**64 + 0.5) * parts), parts - 1)).drop("texts")
+    inside = Window.partitionBy("no_id", "id", "part").orderBy("th", "n")
+    own = cut(own.withColumns({"place": F.row_number().over(inside), "after": F.lead(F.struct(*KEY)).over(inside)}))
+    heads = own.where("place = 1").select("no_id", "id", "part", F.struct(*KEY).alias("head"))
+    each = Window.partitionBy("no_id", "id").orderBy("part")
+    heads = cut(heads.withColumns({"first": F.row_number().over(each) == 1, "later": F.lead("head").over(each)}))
+    ids = heads.where("first").select("no_id", "id", "head").withColumn("doc", F.when(~F.col("no_id"), F.col("id")))
+    ids = following(ids.withColumn("bucket", ordered_buckets(ids, "doc")), ["doc"], ["head"])
+    ends = heads.where("later is null").select("no_id", "id", "part").join(ids.select("no_id", "id", "next_head"), ["no_id", "id"])
+    ends = heads.where("later is not null").select("no_id", "id", "part", F.col("later").alias("next_head")).unionByName(ends)
+    last = own.where("after is null").drop("after").join(ends, ["no_id", "id", "part"]).withColumnRenamed("next_head", "after")
+    out = own.where("after is not null").select(*KEY, "times", "after").unionByName(last.select(*KEY, "times", "after"))
+    return cut(out.select(*KEY, "times", *(F.col("after")[c].alias(f"next_{c}") for c in KEY)))
+
+
+def edited_fingerprints(docs: DataFrame, bits: int = BITS, radius: int = RADIUS, every: int = EVERY) -> DataFrame:
+    """Fingerprints of docs (doc_id, text) and of their edited texts, and how many fingerprints are near.
 
     The edited text has its last floor(n_chars / 2) characters replaced by as
     many from the start of the next document by doc_id (all, if that has
     fewer; the first document follows the last). Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next,
-    the shares of equal bits with the edited and the next text.
-
-    Null text is empty. Null doc_ids come first; rows with one doc_id follow
-    each other by hash of text. Other columns are ignored.
+    the shares of equal bits with the edited and the next text, and n_near:
+    for doc_ids divisible by `every` the number of rows of docs, itself among
+    them, whose fingerprint differs in at most `radius` bits, found by block
+    tables over all rows; null for others.
+
+    Null text is empty; empty texts have the fingerprint 0; texts of any length
+    are read whole. Null doc_ids come first; rows with one doc_id follow each
+    other by hash of text, and of repeated rows each is followed by the next of
+    them. One document alone is its own next. An empty table gives an empty
+    one. Other columns, whatever their names, are ignored.
+
+    Texts are shuffled once by (doc_id, hash), and of each what the one before
+    it needs of its start; the order is made of keys alone.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("bucket", ordered_buckets(rows, "doc_id"))
-    order = [F.col("doc_id").asc_nulls_first(), "th"]
-    pairs = following(rows, order, ["text"])
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    # Equal rows get different numbers; all later steps stay in the bucket.
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
-    kept = ["bucket", "rank", "doc_id", "n_chars", "edited_sha256"]
-    pairs = pairs.select("bucket", "rank", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("th"), F.char_length("text").alias("n"), "text")
+    links = linked(rows)
+    held = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("th")))
+    half = F.floor(F.col("n") / 2).cast("int")
+    # What each text has to send to the one before it.
+    asked = links.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"to_{c}") for c in KEY), half.alias("half"))
+    starts = held.where("copy = 1").join(asked, KEY).select(*(F.col(f"to_{c}").alias(c) for c in KEY), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"))
+    pairs = held.join(links.select(*KEY, "times"), KEY).join(starts, KEY)
+    # A repeated row is followed by itself, but for the last of them.
+    start = F.when(F.col("copy") < F.col("times"), F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("start"))
+    pairs = pairs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), start))
+    kept = [*KEY, "copy", "times", "edited_sha256"]
     pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = pairs.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x")).select(*kept, "x.which", "x.t")
-    # Written once: the step that finds the next row reads its input twice.
-    prints = cut(fingerprints(both, [*kept, "which"], "t", bits))
-    wide = prints.groupBy(*kept).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    out = following(wide, ["rank"], ["fingerprint"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", bits).alias("near_edited"), likeness("fingerprint", "next_fingerprint", bits).alias("near_next"))
+    prints = fingerprints(both, [*kept, "which"], "t", bits)
+    wide = cut(prints.groupBy(*kept).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint")))
+    after = wide.where("copy = 1").select(*(F.col(c).alias(f"next_{c}") for c in KEY), F.col("fingerprint").alias("after"))
+    after = links.join(after, [f"next_{c}" for c in KEY]).select(*KEY, "after")
+    out = wide.join(after, KEY).withColumn("after", F.when(F.col("copy") < F.col("times"), F.col("fingerprint")).otherwise(F.col("after")))
+    out = out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", bits).alias("near_edited"), likeness("fingerprint", "after", bits).alias("near_next"))
+    return _counted(out, wide, radius, every, bits)
+
+
+def _counted(out: DataFrame, wide: DataFrame, radius: int, every: int, bits: int) -> DataFrame:
+    """out with n_near, for the rows whose doc_id is divisible by `every`."""
+    is_query = ~F.col("no_id") & (F.col("id") % every == 0)
+    prints = wide.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.count(F.when(is_query, 1)).alias("asked"))
+    prints = cut(prints)
+    queries = prints.where("asked > 0")
+    near = near_fingerprints(prints, queries, radius, None, bits)
+    near = near.join(prints.select("fingerprint", "rows"), "fingerprint").groupBy("query").agg(F.sum("rows").alias("n_near"))
+    near = near.withColumnRenamed("query", "fingerprint").join(queries.select("fingerprint", "asked"), "fingerprint")
+    asked = (F.col("doc_id") % every == 0) & F.col("doc_id").isNotNull()
+    total = queries.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+    found = join_unique(out.where(asked), near, ["fingerprint"], "asked", total).select(*out.columns, "n_near")
+    return found.unionByName(out.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
