@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK = 1 << 20
+#: Rows that a partition of a small table should have at least.
+PARTITION_ROWS = 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -23,10 +25,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return held().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, into the shared checkpoint folder, and drop its lineage; `discard` deletes it."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Compute df once, into the shared checkpoint folder, and drop its lineage; `discard` deletes it.
+
+    If the number of its rows is known (or one that it doesn't exceed), a small
+    table is written in few files, however many partitions made it.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(8, -(-rows // PARTITION_ROWS)))).checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

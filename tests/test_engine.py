@@ -128,6 +128,19 @@ def test_sorted_groups_after_analysis(engine):
     assert len(engine.query(asked).collect()) == 4
 
 
+def test_cut_and_discard(spark):
+    import pathlib as paths
+
+    from loomwork import session
+
+    df = session.cut(spark.range(50).repartition(30), rows=50)
+    assert df.rdd.getNumPartitions() == 8 and df.count() == 50 and session.cut(spark.range(50).repartition(9)).rdd.getNumPartitions() == 9
+    held = paths.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:"))
+    assert held.is_dir()
+    session.discard(df)
+    assert not held.exists()
+
+
 def test_places(spark):
     from loomwork.operators.scan import placed
 
