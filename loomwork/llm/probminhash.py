@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .session import cut
+from .session import cut, discard
+from .skew import join_unique
 
 BANDS, ROWS = 25, 5
 #: Bits of a sort key that number the rows of a batch (a batch has 10,000 unless set otherwise).
 ROW_BITS = 20
 #: Documents and shingles of one block; larger families are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_500_000
+#: Near documents, of some 40 bytes each, that go to every task at most; beyond it the texts are shuffled to meet them.
+BROADCAST_DOCS = 1_000_000
 #: Cells of the matrices that a comparison holds at once.
 CELLS = 4_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -209,26 +212,29 @@ def links_of(threshold: float):
 def components(links: DataFrame) -> DataFrame:
     """Every node of links (a, b) with the least node it is joined to: (node, least).
 
-    Alternating star contraction; the links are written out after each round
-    and only two sums of them come to the driver.
+    Alternating star contraction; the links are written out after each round,
+    those of the round before deleted, and only two sums of them come to the
+    driver. A star's centre is met by its rows without a shuffle if it is large.
     """
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    stamp = None
+    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    n, stamp = links.count(), None
     while True:
         # Small stars leave every node with links to smaller ones under the least of these.
-        low = links.groupBy("a").agg(F.min("b").alias("m"))
-        links = links.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
+        low = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_unique(links, low, ["a"], "n", n).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
         # Large stars hang the larger neighbours of a node under its least neighbour.
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        links = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        both = cut(small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b"))), 4 * n)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        old, links = links, cut(join_unique(both.where("b > a"), low, ["a"], "n", 4 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), 4 * n)
+        discard(old)
+        discard(both)
         last, stamp = stamp, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stamp == last:
             return links.select(F.col("a").alias("node"), F.col("b").alias("least"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and class_id of each row of docs (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles and class_id of each row of docs (doc_id, text; other columns, whatever their names, are ignored).
 
     Two documents are linked if the probability Jaccard similarity of their
     word shingles, weighted by how often they occur, is at least the
@@ -238,32 +244,53 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     equal weighted shingles are folded first, so copies cost one row each;
     the rest is compared inside the families that bands join, in blocks of
     bounded size, each document once against each block of its family.
-    Null or wordless texts are in a class of their own; rows with one doc_id
-    are one document; a null doc_id has the class null.
+
+    Null, empty and wordless texts are in a class of their own; texts of any
+    length are read whole. Rows with one doc_id, repeated or of different
+    texts, are one document, near whatever one of its texts is near; a null
+    doc_id has the class null. An empty table gives an empty one.
     """
+    own = ["own1", "own2", "n_shingles"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = cut(rows.mapInArrow(sketches(width, BANDS, ROWS), "doc_id long, n_shingles long, own1 long, own2 long, bands array<long>"))
     named = table.where("doc_id is not null and n_shingles > 0")
-    first = named.groupBy("own1", "own2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    folded = named.select("doc_id", "own1", "own2", "n_shingles").join(first, ["own1", "own2", "n_shingles"]).select("doc_id", "first")
-    heads = named.join(first.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    n = named.count()
+    groups = cut(named.groupBy(*own).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), n)
+    # The head of a group is its first row by doc_id; the bands of equal sets are equal.
+    heads = named.join(groups.select(*own, F.col("first").alias("doc_id")), [*own, "doc_id"], "left_semi")
     spots = heads.select("doc_id", F.explode("bands").alias("spot")).distinct()
-    hubs = spots.groupBy("spot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").drop("top")
-    near = cut(spots.join(hubs, "spot").select("doc_id", "hub").distinct())
+    hubs = spots.groupBy("spot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"), F.count("*").alias("docs")).where("hub < top").drop("top")
+    shared = cut(join_unique(spots, hubs, ["spot"], "docs", BANDS * n).select("doc_id", "hub").distinct(), BANDS * n)
     # A family is what shared bands join: no link leaves it.
-    families = components(near.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    near = near.select("doc_id").distinct().join(families, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("least", "doc_id").alias("family"))
-    near = near.join(heads.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-    blocks = near.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    near = cut(near.join(blocks, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")))
-    packs = max(1, near.count() // BLOCK_DOCS)
-    packed = rows.join(near, "doc_id").mapInArrow(sets(width), "doc_id long, family long, blocks long, block long, set binary")
+    families = components(shared.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    near = shared.select("doc_id").distinct().join(families, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("least", "doc_id").alias("family"))
+    near = near.join(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    blocks = near.groupBy("family").agg(F.count("*").alias("docs"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    near = cut(join_unique(near, blocks, ["family"], "docs", n).select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), n)
+    discard(shared)
+    n_near = near.count()
+    packs = max(1, n_near // BLOCK_DOCS)
+    packed = rows.join(F.broadcast(near) if n_near <= BROADCAST_DOCS else near, "doc_id").mapInArrow(sets(width), "doc_id long, family long, blocks long, block long, set binary")
     # Each pair of blocks of a family meets in one group; families of one block share groups.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     meets = packed.select("doc_id", "family", "blocks", "block", "set", other.alias("other"))
     meets = meets.select("doc_id", "family", "block", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))).alias("meeting"))
-    parts = components(cut(meets.groupBy("meeting").applyInArrow(links_of(threshold), "a long, b long")))
-    classes = folded.join(parts, folded["first"] == parts.node, "left").select("doc_id", F.coalesce("least", "first").alias("class_id"))
-    # A doc_id that several rows have names one document.
-    classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return table.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    links = meets.groupBy("meeting").applyInArrow(links_of(threshold), "a long, b long")
+    parts = components(links.unionByName(_one_document(named, groups, own, n)))
+    discard(near)
+    classes = groups.join(parts, groups["first"] == parts.node, "left").select(*own, "copies", F.coalesce("least", "first").alias("class_id"))
+    # A doc_id that several rows have names one document, whose groups are linked.
+    classes = join_unique(named.select("doc_id", *own), classes, own, "copies", n).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    several = table.select("doc_id", "n_shingles").where("doc_id is not null")
+    per_id = several.groupBy("doc_id").agg(F.count("*").alias("rows")).join(classes, "doc_id", "left").select("doc_id", "rows", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = join_unique(several, per_id, ["doc_id"], "rows", table.count()).select("doc_id", "n_shingles", "class_id")
+    return out.unionByName(table.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class_id")))
+
+
+def _one_document(named: DataFrame, groups: DataFrame, own: list[str], n: int) -> DataFrame:
+    """Links (a, b) between the heads of all groups that one doc_id has rows in."""
+    many = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    told = join_unique(named.select("doc_id", *own), many, ["doc_id"], "rows", n).select("doc_id", *own).distinct()
+    heads = join_unique(told, groups, own, "copies", n).select("doc_id", "first").distinct()
+    least = heads.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("top"), F.count("*").alias("groups")).where("least < top")
+    return join_unique(heads, least, ["doc_id"], "groups", n).select(F.col("first").alias("a"), F.col("least").alias("b"))

@@ -81,6 +81,31 @@ def test_a_large_family_loses_no_link(make_docs, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [probminhash.BROADCAST_DOCS, 0], ids=["sent", "shuffled"])
+def test_one_document_of_several_texts(make_docs, monkeypatch, limit):
+    """A doc_id with two texts joins the classes of both, wherever the first rows of these are."""
+    monkeypatch.setattr(probminhash, "BROADCAST_DOCS", limit)
+    a, b, c = (words(60, k) for k in (1, 2, 3))
+    near = lambda t: " ".join(["edited", *t.split()[1:]])
+    rows = [(1, b), (5, a), (5, b), (5, b), (7, a), (8, near(a)), (9, c), (3, near(c)), (5, None), (None, a), (11, ""), (12, "")]
+    got = [(r.doc_id, r.class_id) for r in probminhash.near_classes(make_docs(rows)).collect()]
+    want = {1: 1, 5: 1, 7: 1, 8: 1, 9: 3, 3: 3, None: None, 11: 11, 12: 12}
+    assert sorted(got, key=str) == sorted(((i, want[i]) for i, _ in rows), key=str)
+    assert classes(rows) == {i: w for i, w in want.items() if i is not None}
+
+
+def test_hot_keys_are_joined_once(spark, monkeypatch):
+    from loomwork.llm import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(k, i) for k in range(9) for i in range(k)], "k long, i long")
+    right = left.groupBy("k").count().where("k != 5")
+    for keys in (10_000, 1):
+        monkeypatch.setattr(skew, "HOT_KEYS", keys)
+        got = skew.join_unique(left, right, ["k"], "count", 36).collect()
+        assert sorted((r.k, r.i, r["count"]) for r in got) == [(k, i, k) for k in range(9) for i in range(k) if k != 5]
+
+
 def test_empty(make_docs):
     assert probminhash.near_classes(make_docs([])).collect() == []
 
