@@ -62,13 +62,13 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     pieces = cut(rows.select(*key, F.posexplode(chunks(F.col("text"), divisor)).alias("no", "c")).where("c.n > 1").select(*key, "no", F.xxhash64("c.text").alias("h")))
     total = pieces.count()
     shared = pieces.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    proposed = cut(join_unique(pieces, shared, ["h"], "times", total).select(*key, "no", "h"))
+    proposed = cut(join_unique(pieces, shared, ["h"], "times", total).select(*key, "no", "h"), total)
     wanted = proposed.groupBy(*key).agg(F.collect_set(F.struct("no", "h")).alias("wanted"))
     texts = rows.join(wanted, key).dropDuplicates(key).withColumn("parts", chunks(F.col("text"), divisor))
     texts = texts.select(*key, F.explode(F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), F.get("parts", w["no"])["text"].alias("text")))).alias("w"))
     # Grouping by the text itself is the comparison of bytes; the first occurrence of each text stays.
     place = F.struct((~F.col("no_id")).alias("with_id"), "id", "th", "no")
-    kinds = cut(texts.groupBy("w.h", "w.text").agg(F.min(F.struct((~F.col("no_id")).alias("with_id"), "id", "th", F.col("w.no").alias("no"))).alias("first"), F.count("*").alias("times")).select("h", F.xxhash64(F.lit(1), "text").alias("h1"), "first", "times"))
+    kinds = cut(texts.groupBy("w.h", "w.text").agg(F.min(F.struct((~F.col("no_id")).alias("with_id"), "id", "th", F.col("w.no").alias("no"))).alias("first"), F.count("*").alias("times")).select("h", "first", "times"))
     by_hash = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.struct("first", "times")).alias("only"))
     alone = by_hash.where("kinds = 1 and only.times > 1").select("h", "only.first", "only.times")
     gone = join_unique(proposed.distinct(), alone, ["h"], "times", total).where(place > F.col("first")).select(*key, "no")

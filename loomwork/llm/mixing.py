@@ -86,11 +86,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None
     held = docs.select(F.struct(*docs.columns).alias("row"), favour.alias("favour"))
     held = held.select("row", *keys, F.col("row.doc_id").alias("doc"), size.alias("size"), u.alias("u"), "favour")
     rows = cut(held.drop("row"))
+    total = rows.count()
     sources = rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("favour")).alias("favoured"), F.count("*").alias("n"))
     sources = targets(sources.withColumn("source", F.when(~F.col("no_source"), F.col("some_source"))), weights, cap)
-    sources = cut(sources.select(*by, "n", "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("rate")))
-    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    few = n_sources <= FEW_SOURCES
+    sources = cut(sources.select(*by, "n", "source_size", "target", F.when(F.col("favoured") > 0, F.col("target") / F.col("favoured")).otherwise(0.0).alias("rate")), total)
+    few = sources.count() <= FEW_SOURCES
     expected = F.least(F.col("rate") * F.col("favour"), F.lit(float(cap)))
 
     def ranked(table: DataFrame) -> DataFrame:
@@ -105,13 +105,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, favour: Column | None
     bins = bins.withColumn("left", F.col("target") - F.sum("sure").over(each)).where("bin is not null")
     bins = bins.withColumn("upto", F.sum("words").over(each.orderBy("bin")))
     crossing = bins.where("upto >= left").groupBy(*by).agg(F.min_by(F.struct(F.col("bin").alias("edge"), F.col("left").alias("room"), (F.col("upto") - F.col("words")).alias("under")), "bin").alias("c"))
-    stops = cut(sources.select(*by, "n").join(crossing, by, "left").select(*by, "n", "c.*"))
+    stops = cut(sources.select(*by, "n").join(crossing, by, "left").select(*by, "n", "c.*"), total)
     edge = _by_source(narrow.where("p > 0").select(*by, "doc", "size", "rank", "bin"), stops, few, total).where("bin = edge")
     running = F.col("under") + F.sum("size").over(Window.partitionBy(*by).orderBy("rank", "doc"))
     # Taken is what comes in order up to a last document; among rows that tie with it, those that are long enough.
     taken = edge.withColumn("running", running).where(F.col("running") - F.col("size") / 2 <= F.col("room"))
     last = taken.groupBy(*by).agg(F.max(F.struct("rank", "doc", (-F.col("size")).alias("less"))).alias("last"))
-    level = cut(sources.join(stops.select(*by, "edge"), by, "left").join(last, by, "left"))
+    level = sources.join(stops.select(*by, "edge"), by, "left").join(last, by, "left")
     out = ranked(_by_source(held, level, few, total))
     at, stop = F.struct("rank", "doc", (-F.col("size")).alias("less")), F.col("last")
     inside = F.coalesce((F.col("bin") == F.col("edge")) & (at <= stop), F.lit(False))

@@ -157,23 +157,24 @@ def linked(rows: DataFrame) -> DataFrame:
     length. The first key follows the last. Only keys are shuffled: those of
     an id that has many are split by their hash, and ids are ordered apart.
     """
-    own = cut(rows.groupBy(*KEY).agg(F.count("*").alias("times")))
+    n = rows.count()
+    own = cut(rows.groupBy(*KEY).agg(F.count("*").alias("times")), n)
     many = own.groupBy("no_id", "id").agg(F.count("*").alias("texts"))
-    own = join_unique(own, many, ["no_id", "id"], "texts", own.count())
+    own = join_unique(own, many, ["no_id", "id"], "texts", n)
     parts = F.ceil(F.col("texts") / BUCKET_ROWS)
     own = own.withColumn("part", F.least(F.floor((F.col("th") / 2.0**64 + 0.5) * parts), parts - 1)).drop("texts")
     inside = Window.partitionBy("no_id", "id", "part").orderBy("th", "n")
-    own = cut(own.withColumns({"place": F.row_number().over(inside), "after": F.lead(F.struct(*KEY)).over(inside)}))
+    own = cut(own.withColumns({"place": F.row_number().over(inside), "after": F.lead(F.struct(*KEY)).over(inside)}), n)
     heads = own.where("place = 1").select("no_id", "id", "part", F.struct(*KEY).alias("head"))
     each = Window.partitionBy("no_id", "id").orderBy("part")
-    heads = cut(heads.withColumns({"first": F.row_number().over(each) == 1, "later": F.lead("head").over(each)}))
+    heads = cut(heads.withColumns({"first": F.row_number().over(each) == 1, "later": F.lead("head").over(each)}), n)
     ids = heads.where("first").select("no_id", "id", "head").withColumn("doc", F.when(~F.col("no_id"), F.col("id")))
     ids = following(ids.withColumn("bucket", ordered_buckets(ids, "doc")), ["doc"], ["head"])
     ends = heads.where("later is null").select("no_id", "id", "part").join(ids.select("no_id", "id", "next_head"), ["no_id", "id"])
     ends = heads.where("later is not null").select("no_id", "id", "part", F.col("later").alias("next_head")).unionByName(ends)
     last = own.where("after is null").drop("after").join(ends, ["no_id", "id", "part"]).withColumnRenamed("next_head", "after")
-    out = own.where("after is not null").select(*KEY, "times", "after").unionByName(last.select(*KEY, "times", "after"))
-    return cut(out.select(*KEY, "times", *(F.col("after")[c].alias(f"next_{c}") for c in KEY)))
+    out = own.where("after is not null").select(*KEY, "times", "after").unionByName(last.select(*KEY, "times", "after")).withColumn("place", F.lit(1))
+    return cut(out.select(*KEY, "times", F.col("place").alias("first"), *(F.col("after")[c].alias(f"next_{c}") for c in KEY)), n)
 
 
 def edited_fingerprints(docs: DataFrame, bits: int = BITS, radius: int = RADIUS, every: int = EVERY) -> DataFrame:
@@ -202,9 +203,10 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, radius: int = RADIUS,
     links = linked(rows)
     held = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("th")))
     half = F.floor(F.col("n") / 2).cast("int")
-    # What each text has to send to the one before it.
-    asked = links.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"to_{c}") for c in KEY), half.alias("half"))
-    starts = held.where("copy = 1").join(asked, KEY).select(*(F.col(f"to_{c}").alias(c) for c in KEY), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"))
+    # What each text has to send to the one before it. That the first copy sends is told by a column of the links: a
+    # test of the copy alone would be pushed below the shuffle of texts, which then could not be shared with the next join.
+    asked = links.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"to_{c}") for c in KEY), half.alias("half"), "first")
+    starts = held.join(asked, KEY).where("copy = first").select(*(F.col(f"to_{c}").alias(c) for c in KEY), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"))
     pairs = held.join(links.select(*KEY, "times"), KEY).join(starts, KEY)
     # A repeated row is followed by itself, but for the last of them.
     start = F.when(F.col("copy") < F.col("times"), F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("start"))
@@ -225,7 +227,7 @@ def _counted(out: DataFrame, wide: DataFrame, radius: int, every: int, bits: int
     """out with n_near, for the rows whose doc_id is divisible by `every`."""
     is_query = ~F.col("no_id") & (F.col("id") % every == 0)
     prints = wide.groupBy("fingerprint").agg(F.count("*").alias("rows"), F.count(F.when(is_query, 1)).alias("asked"))
-    prints = cut(prints)
+    prints = cut(prints, wide.count())
     queries = prints.where("asked > 0")
     near = near_fingerprints(prints, queries, radius, None, bits)
     near = near.join(prints.select("fingerprint", "rows"), "fingerprint").groupBy("query").agg(F.sum("rows").alias("n_near"))
