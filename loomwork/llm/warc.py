@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import cut
+from .skew import join_unique
+
 END = "\r\n\r\n"
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -169,13 +172,18 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     become revisits. Null html is an empty payload, a null url `-`. Each row
     makes one record, told by its own payload where page_ids repeat; equal
     payloads under the largest page_id are all stored. Identifiers of records
-    differ unless page_id, url and payload are equal.
+    differ unless page_id, url and payload are equal. A null page_id is never
+    stored for others, nor a revisit. Empty and very long html are payloads
+    like others; an empty table gives a folder without archives; other columns
+    of pages, whatever their names, are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.unhex(F.sha1(F.encode("html", "utf-8")))))
     keys = rows.where("digest is not null").select("page_id", "url", "digest")
-    kept = keys.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    revisits = keys.join(kept, "digest").where("page_id < kept.page_id").select("page_id", "digest", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url")).distinct()
+    kept = cut(keys.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # (page_id, digest) is unique among revisits, and spreads the pages of a payload that many have.
+    revisits = join_unique(keys, kept, ["digest"], "n", total).where("page_id < kept.page_id").select("page_id", "digest", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url")).distinct()
     rows = rows.join(revisits, ["page_id", "digest"], "left").drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
