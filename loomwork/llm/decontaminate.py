@@ -23,6 +23,8 @@ from .skew import HOT_KEYS, HOT_ROWS
 
 #: Tokens of a window, literal ones it needs unless all its tokens are equal, and tokens a match must span (or the whole item, if shorter).
 WINDOW, LITERALS, SPAN = 8, 4, 13
+#: Tokens of the windows that lead to passages in capitals, and literal ones among them.
+SEED, SEED_LITERALS = 4, 3
 #: A benchmark of at most so many characters (about 10 times as many bytes in memory) is probed by each task; beyond it windows are joined.
 PROBE_CHARACTERS = 1 << 21
 #: Documents of one window that a task of that join gets at most, about.
@@ -133,6 +135,30 @@ def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def seeds(kind: np.ndarray, value: np.ndarray, first: np.ndarray, opener: np.ndarray | None = None):
+    """Hash, place and row of windows of SEED tokens, names literal.
+
+    They find passages whose capitals tell no names, and whose names are
+    others: there no longer window may be without a name. Of documents (with
+    `opener`) only windows in capitals are taken.
+    """
+    many = np.maximum(0, np.diff(first) - SEED + 1)
+    at = kernel.spread(first[:-1], many)
+    row = np.repeat(np.arange(len(many)), many)
+    slots = np.where(kind == NAME, np.uint64(0), kind)
+
+    def count(flag: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(flag)])
+        return sums[at + SEED] - sums[at]
+
+    open_slots = count(slots > 0)
+    use = open_slots <= SEED - SEED_LITERALS
+    if opener is not None:
+        use &= count((kind == NAME) | opener) + open_slots == SEED
+    gram = kernel.Prefix(np.where(slots > 0, kernel.mix(slots), value)).grams(SEED)
+    return gram[at[use]], at[use], row[use]
+
+
 class Items:
     """The templates of benchmark items, and an index of their windows."""
 
@@ -149,6 +175,8 @@ class Items:
         self.width, self.hash, self.at, self.row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
         order = np.lexsort((self.hash, self.width))
         self.width, self.hash, self.at, self.row = (x[order] for x in (self.width, self.hash, self.at, self.row))
+        found = seeds(self.kind, self.value, self.first)
+        self.seeds = [x[np.argsort(found[0], kind="stable")] for x in found]
 
     def hits(self, kind: np.ndarray, value: np.ndarray, first: np.ndarray, opener: np.ndarray):
         """(row, place, item, place in item) of all windows whose templates agree."""
@@ -162,6 +190,10 @@ class Items:
             a, b = a[some], np.searchsorted(known, h[some], "right")
             which, hit = kernel.spread(a, b - a) + lo, np.repeat(some, b - a)
             found.append((row[hit], at[hit], self.row[which], self.at[which]))
+        h, at, row = seeds(kind, value, first, opener)
+        a, b = np.searchsorted(self.seeds[0], h), np.searchsorted(self.seeds[0], h, "right")
+        which, hit = kernel.spread(a, b - a), np.repeat(np.arange(len(h)), b - a)
+        found.append((row[hit], at[hit], self.seeds[2][which], self.seeds[1][which]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
 
     def matches(self, kind: np.ndarray, value: np.ndarray, first: np.ndarray, opener: np.ndarray):
@@ -312,6 +344,8 @@ def _keys(who: str, distinct: bool):
                         h, row = h[right], row[right]
                     key = kernel.mix(h + np.uint64(width)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[i + row])], ["key", who])
+                h, _, row = seeds(kind, value, first, opener if distinct else None)
+                yield pa.RecordBatch.from_arrays([pa.array(kernel.mix(h + np.uint64(1 << 32)).view(np.int64)), pa.array(ids[i + row])], ["key", who])
 
     return run
 
