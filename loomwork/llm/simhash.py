@@ -203,10 +203,10 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, radius: int = RADIUS,
     links = linked(rows)
     held = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("th")))
     half = F.floor(F.col("n") / 2).cast("int")
-    # What each text has to send to the one before it. That the first copy sends is told by a column of the links: a
-    # test of the copy alone would be pushed below the shuffle of texts, which then could not be shared with the next join.
+    # What each text has to send to the one before it. That the first copy sends is told by a column of the links, and not
+    # by an equation: a test of the copy alone, or one more key, would part the shuffle of texts from that of the next join.
     asked = links.select(*(F.col(f"next_{c}").alias(c) for c in KEY), *(F.col(c).alias(f"to_{c}") for c in KEY), half.alias("half"), "first")
-    starts = held.join(asked, KEY).where("copy = first").select(*(F.col(f"to_{c}").alias(c) for c in KEY), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"))
+    starts = held.join(asked, KEY).where("copy <= first").select(*(F.col(f"to_{c}").alias(c) for c in KEY), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"))
     pairs = held.join(links.select(*KEY, "times"), KEY).join(starts, KEY)
     # A repeated row is followed by itself, but for the last of them.
     start = F.when(F.col("copy") < F.col("times"), F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("start"))
