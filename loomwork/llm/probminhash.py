@@ -209,25 +209,27 @@ def links_of(threshold: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Every node of links (a, b) with the least node it is joined to: (node, least).
 
-    Alternating star contraction; the links are written out after each round,
-    those of the round before deleted, and only two sums of them come to the
-    driver. A star's centre is met by its rows without a shuffle if it is large.
+    Alternating star contraction; the links are written out after each round
+    (in few files, if they are `rows` at most), those of the round before
+    deleted, and only two sums of them come to the driver. Rows are two
+    numbers; the centre of a large star is split by the engine's skew join.
     """
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    n, stamp = links.count(), None
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    stamp = old = None
     while True:
         # Small stars leave every node with links to smaller ones under the least of these.
-        low = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_unique(links, low, ["a"], "n", n).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
+        low = links.groupBy("a").agg(F.min("b").alias("m"))
+        small = links.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
         # Large stars hang the larger neighbours of a node under its least neighbour.
-        both = cut(small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b"))), 4 * n)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        old, links = links, cut(join_unique(both.where("b > a"), low, ["a"], "n", 4 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), 4 * n)
-        discard(old)
-        discard(both)
+        both = small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        links = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), rows)
+        if old is not None:
+            discard(old)
+        old = links
         last, stamp = stamp, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stamp == last:
             return links.select(F.col("a").alias("node"), F.col("b").alias("least"))
@@ -262,7 +264,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     hubs = spots.groupBy("spot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"), F.count("*").alias("docs")).where("hub < top").drop("top")
     shared = cut(join_unique(spots, hubs, ["spot"], "docs", BANDS * n).select("doc_id", "hub").distinct(), BANDS * n)
     # A family is what shared bands join: no link leaves it.
-    families = components(shared.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    families = components(shared.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), shared.count())
     near = shared.select("doc_id").distinct().join(families, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("least", "doc_id").alias("family"))
     near = near.join(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
     blocks = near.groupBy("family").agg(F.count("*").alias("docs"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
@@ -276,7 +278,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     meets = packed.select("doc_id", "family", "blocks", "block", "set", other.alias("other"))
     meets = meets.select("doc_id", "family", "block", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))).alias("meeting"))
     links = meets.groupBy("meeting").applyInArrow(links_of(threshold), "a long, b long")
-    parts = components(links.unionByName(_one_document(named, groups, own, n)))
+    parts = components(cut(links.unionByName(_one_document(named, groups, own, n)), n), n)
     discard(near)
     classes = groups.join(parts, groups["first"] == parts.node, "left").select(*own, "copies", F.coalesce("least", "first").alias("class_id"))
     # A doc_id that several rows have names one document, whose groups are linked.
