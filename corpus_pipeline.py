@@ -59,15 +59,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows one stays, with the least values in its other columns.
     """
     held = _held(docs, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.col("id"))
-    texts = cut(held.where("id is not null").groupBy("id", F.xxhash64("text").alias("th")).agg(F.count("*").alias("rows")))
-    several = texts.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id", F.lit(True).alias("several"))
+    # Ids that have several texts, or one text in several rows: mostly none.
+    texts = held.where("id is not null").groupBy("id", F.xxhash64("text").alias("th")).agg(F.count("*").alias("rows"))
+    texts = cut(texts.groupBy("id").agg(F.count("*").alias("texts"), F.max("rows").alias("rows")).where("texts > 1 or rows > 1"), held.count())
+    several = texts.where("texts > 1").select("id", F.lit(True).alias("several"))
     if several.limit(1).count():
         # Numbers above those of usual ids, told by id and text.
         own = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
         held = held.join(_sent(several), "id", "left").withColumn("key", F.when(F.col("several"), own).otherwise(F.col("id"))).drop("several")
-    classes = cut(probminhash.near_classes(held.select(F.col("key").alias("doc_id"), "text")).where("doc_id != class_id").select(F.col("doc_id").alias("key")).distinct())
+    classes = cut(probminhash.near_classes(held.select(F.col("key").alias("doc_id"), "text")).where("doc_id != class_id").select(F.col("doc_id").alias("key")).distinct(), held.count())
     out = held.join(_sent(classes), "key", "left_anti")
-    many = texts.where("rows > 1").select("id").distinct()
+    many = texts.where("rows > 1").select("id")
     if not many.limit(1).count():
         return _rows(out, docs)
     many, rest = _sent(many), [c for c in docs.columns if c not in ("doc_id", "text")]
