@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .session import cut, free_name
+from .session import cut, with_text
 from .skew import HOT_KEYS, HOT_ROWS
 
 #: Tokens of a window, literal ones it needs unless all its tokens are equal, and tokens a match must span (or the whole item, if shorter).
@@ -317,14 +317,16 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items([0] * len(shared.value), shared.value)
         for batch in batches:
-            data, offs = kernel.text_buffers(batch.column(batch.num_columns - 1))
+            data, offs = kernel.text_buffers(batch.column(place))
             keep = np.ones(batch.num_rows, bool)
             for i, j in kernel.slices(offs):
                 keep[[i + r for r, *_ in items.matches(*tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))]] = False
             kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(kept.columns[:own], names=kept.schema.names[:own])
 
-    return docs.select("*", F.col("text").cast("string").alias(free_name(docs, "whole"))).mapInArrow(run, docs.schema)
+    own = len(docs.columns)
+    rows, place = with_text(docs)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def _keys(who: str, distinct: bool):

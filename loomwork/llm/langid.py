@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .session import free_name
+from .session import with_text
 
 #: Cells of the hash table, characters per n-gram, and the pseudo-count of a cell.
 CELLS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         fold = CELLS // len(model.table)
         for batch in batches:
-            data, offs = kernel.text_buffers(batch.column(batch.num_columns - 1))
+            data, offs = kernel.text_buffers(batch.column(place))
             best, score = [], []
             for i, j in kernel.slices(offs):
                 points, at = characters(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
@@ -167,12 +167,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     best.append(np.full(j - i, UNKNOWN, object))
                     score.append(np.zeros(j - i))
-            arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(np.concatenate(best) if best else [], pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*batch.schema.names[:own], "lang_pred", "score"])
 
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.select("*", F.col("text").cast("string").alias(free_name(kept, "whole"))).mapInArrow(run, schema)
+    own = len(kept.columns)
+    texts, place = with_text(kept)
+    return texts.mapInArrow(run, schema)
 
 
 def held_out(column, parts: int, which: int):

@@ -212,13 +212,14 @@ def links_of(threshold: float):
 def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Every node of links (a, b) with the least node it is joined to: (node, least).
 
-    Alternating star contraction; the links are written out after each round
-    (in few files, if they are `rows` at most), those of the round before
-    deleted, and only two sums of them come to the driver. Rows are two
+    Alternating star contraction until the links are stars: every node that has
+    a link has one, to a node that has none. The links are written out after
+    each round (in few files, if they are `rows` at most), those of the round
+    before deleted, and only one row of them comes to the driver. Rows are two
     numbers; the centre of a large star is split by the engine's skew join.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    stamp = old = None
+    old = None
     while True:
         # Small stars leave every node with links to smaller ones under the least of these.
         low = links.groupBy("a").agg(F.min("b").alias("m"))
@@ -230,8 +231,8 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
         if old is not None:
             discard(old)
         old = links
-        last, stamp = stamp, links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if stamp == last:
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionAll(links.select("b", F.lit(0)).distinct())
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("ends")).where("up > 0 and ends > 1").limit(1).count():
             return links.select(F.col("a").alias("node"), F.col("b").alias("least"))
 
 

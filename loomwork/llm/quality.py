@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import free_name
+from . import kernel
+from .session import with_text
 
 LEVEL = 3
 #: Documents with this score or more are kept.
@@ -214,11 +215,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         sizes = Sizes(model.good_kinds, model.bad_kinds) if len(model.weights) else None
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(batch.num_columns - 1)]
-            got = np.full(len(texts), model.base)
-            if sizes and texts:
-                got = 1 / (1 + np.exp(-np.clip(sizes.features(texts) @ model.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(got, pa.float64())], [*batch.schema.names[:-1], "score"])
+            got = np.full(batch.num_rows, model.base)
+            if sizes:
+                data, offs = kernel.text_buffers(batch.column(place))
+                for i, j in kernel.slices(offs):
+                    texts = [data[a:b].tobytes() for a, b in zip(offs[i:j], offs[i + 1 : j + 1], strict=True)]
+                    got[i:j] = 1 / (1 + np.exp(-np.clip(sizes.features(texts) @ model.weights, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(got, pa.float64())], [*batch.schema.names[:own], "score"])
 
     kept = docs.drop("score")
-    return kept.select("*", F.col("text").cast("string").alias(free_name(kept, "whole"))).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    own = len(kept.columns)
+    rows, place = with_text(kept)
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
