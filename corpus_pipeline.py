@@ -39,8 +39,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are judged by their text alone, null as empty: equal texts go or stay together.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out(F.col("doc_id"), 5, 0))
-    scored = quality.score(_held(docs, "text"), quality.train(docs, labels))
-    return _rows(scored.where(F.col("score") >= quality.KEEP), docs)
+    # Columns go to Python and back once, under names that none of the result's can take the place of.
+    names = ["text" if c.lower() == "text" else f"c{k}" for k, c in enumerate(docs.columns)]
+    scored = quality.score(docs.toDF(*names), quality.train(docs, labels))
+    return scored.where(F.col("score") >= quality.KEEP).select(*(F.col(own).alias(c) for own, c in zip(names, docs.columns, strict=True)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
