@@ -279,21 +279,26 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     meets = packed.select("doc_id", "family", "blocks", "block", "set", other.alias("other"))
     meets = meets.select("doc_id", "family", "block", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))).alias("meeting"))
     links = meets.groupBy("meeting").applyInArrow(links_of(threshold), "a long, b long")
-    parts = components(cut(links.unionByName(_one_document(named, groups, own, n)), n), n)
+    same = _one_document(named, groups, own, n)
+    parts = components(cut(links if same is None else links.unionByName(same), n), n)
     discard(near)
     classes = groups.join(parts, groups["first"] == parts.node, "left").select(*own, "copies", F.coalesce("least", "first").alias("class_id"))
     # A doc_id that several rows have names one document, whose groups are linked.
     classes = join_unique(named.select("doc_id", *own), classes, own, "copies", n).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     several = table.select("doc_id", "n_shingles").where("doc_id is not null")
     per_id = several.groupBy("doc_id").agg(F.count("*").alias("rows")).join(classes, "doc_id", "left").select("doc_id", "rows", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = join_unique(several, per_id, ["doc_id"], "rows", table.count()).select("doc_id", "n_shingles", "class_id")
+    # The two joins hold their inputs several times each: cut between them, plans stay small.
+    total = table.count()
+    out = join_unique(several, cut(per_id, total), ["doc_id"], "rows", total).select("doc_id", "n_shingles", "class_id")
     return out.unionByName(table.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class_id")))
 
 
-def _one_document(named: DataFrame, groups: DataFrame, own: list[str], n: int) -> DataFrame:
-    """Links (a, b) between the heads of all groups that one doc_id has rows in."""
-    many = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    told = join_unique(named.select("doc_id", *own), many, ["doc_id"], "rows", n).select("doc_id", *own).distinct()
-    heads = join_unique(told, groups, own, "copies", n).select("doc_id", "first").distinct()
+def _one_document(named: DataFrame, groups: DataFrame, own: list[str], n: int) -> DataFrame | None:
+    """Links (a, b) between the heads of all groups that one doc_id has rows in; None if no doc_id has two rows."""
+    many = cut(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1"), n)
+    if not many.limit(1).count():
+        return None
+    told = cut(join_unique(named.select("doc_id", *own), many, ["doc_id"], "rows", n).select("doc_id", *own).distinct(), n)
+    heads = cut(join_unique(told, groups, own, "copies", n).select("doc_id", "first").distinct(), n)
     least = heads.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("top"), F.count("*").alias("groups")).where("least < top")
     return join_unique(heads, least, ["doc_id"], "groups", n).select(F.col("first").alias("a"), F.col("least").alias("b"))
