@@ -20,6 +20,8 @@ ROW_BITS = 20
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_500_000
 #: Near documents, of some 40 bytes each, that go to every task at most; beyond it the texts are shuffled to meet them.
 BROADCAST_DOCS = 1_000_000
+#: Links, of 16 bytes each, that one task joins at most; beyond it they are contracted by shuffles until they are so few.
+TASK_LINKS = 100_000
 #: Cells of the matrices that a comparison holds at once.
 CELLS = 4_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -209,6 +211,25 @@ def links_of(threshold: float):
     return run
 
 
+def join_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least) of all links (a, b) of the batches, as `components` has them: each root hangs under the least that a link shows it, until all links are inside a tree."""
+    got = [(np.asarray(batch.column(0)), np.asarray(batch.column(1))) for batch in batches if batch.num_rows]
+    if not got:
+        return
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[ends[: len(a)]], root[ends[len(a) :]]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    below = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root[below]])], ["node", "least"])
+
+
 def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Every node of links (a, b) with the least node it is joined to: (node, least).
 
@@ -217,8 +238,13 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     each round (in few files, if they are `rows` at most), those of the round
     before deleted, and only one row of them comes to the driver. Rows are two
     numbers; the centre of a large star is split by the engine's skew join.
+    As soon as TASK_LINKS links at most are known to be left, one task joins
+    them all at once, without a shuffle.
     """
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+    if rows is not None and rows <= TASK_LINKS:
+        return cut(links.coalesce(1).mapInArrow(join_links, "node long, least long"), rows)
+    links = links.distinct()
     old = None
     while True:
         # Small stars leave every node with links to smaller ones under the least of these.
@@ -230,7 +256,11 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
         links = cut(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), rows)
         if old is not None:
             discard(old)
-        old = links
+        old, left = links, links.count()
+        if left <= TASK_LINKS:
+            out = components(links, left)
+            discard(links)
+            return out
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionAll(links.select("b", F.lit(0)).distinct())
         if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("ends")).where("up > 0 and ends > 1").limit(1).count():
             return links.select(F.col("a").alias("node"), F.col("b").alias("least"))
@@ -260,17 +290,18 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     n = named.count()
     groups = cut(named.groupBy(*own).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), n)
     # The head of a group is its first row by doc_id; the bands of equal sets are equal.
-    heads = named.join(groups.select(*own, F.col("first").alias("doc_id")), [*own, "doc_id"], "left_semi")
+    heads = cut(named.join(groups.select(*own, F.col("first").alias("doc_id")), [*own, "doc_id"], "left_semi").select("doc_id", "n_shingles", "bands"), n)
     spots = heads.select("doc_id", F.explode("bands").alias("spot")).distinct()
     hubs = spots.groupBy("spot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"), F.count("*").alias("docs")).where("hub < top").drop("top")
     shared = cut(join_unique(spots, hubs, ["spot"], "docs", BANDS * n).select("doc_id", "hub").distinct(), BANDS * n)
     # A family is what shared bands join: no link leaves it.
     families = components(shared.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), shared.count())
     near = shared.select("doc_id").distinct().join(families, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("least", "doc_id").alias("family"))
-    near = near.join(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    sized = near = cut(near.join(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id"), n)
     blocks = near.groupBy("family").agg(F.count("*").alias("docs"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     near = cut(join_unique(near, blocks, ["family"], "docs", n).select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), n)
-    discard(shared)
+    for old in (shared, heads, sized):
+        discard(old)
     n_near = near.count()
     packs = max(1, n_near // BLOCK_DOCS)
     packed = rows.join(F.broadcast(near) if n_near <= BROADCAST_DOCS else near, "doc_id").mapInArrow(sets(width), "doc_id long, family long, blocks long, block long, set binary")
@@ -280,7 +311,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> Dat
     meets = meets.select("doc_id", "family", "block", "set", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))).alias("meeting"))
     links = meets.groupBy("meeting").applyInArrow(links_of(threshold), "a long, b long")
     same = _one_document(named, groups, own, n)
-    parts = components(cut(links if same is None else links.unionByName(same), n), n)
+    links = cut(links if same is None else links.unionByName(same), n)
+    parts = components(links, links.count())
     discard(near)
     classes = groups.join(parts, groups["first"] == parts.node, "left").select(*own, "copies", F.coalesce("least", "first").alias("class_id"))
     # A doc_id that several rows have names one document, whose groups are linked.

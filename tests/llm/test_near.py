@@ -127,6 +127,26 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+def test_few_links_are_joined_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(5)
+    path = rng.sample(range(1000, 2000), 1000)
+    pairs = [(x, x) for x in (1, 2)] + list(zip(path[:-1], path[1:])) + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(5000 - k, 5000) for k in range(300)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5).localCheckpoint()
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        got = {r.node: r.least for r in probminhash.components(links, len(pairs)).collect()}
+        # Written, and read for this test; each round of the contraction takes several.
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(path) - {1000} == {x for x, y in got.items() if y == 1000} and {got[5000 - k] for k in range(299)} == {5000 - 299}
+    assert all(got.get(a, a) == got.get(b, b) for a, b in pairs) and all(y < x for x, y in got.items())
+    assert probminhash.components(links.limit(0), 0).collect() == []
+    assert {r.node: r.least for r in probminhash.components(links).collect()} == got  # by one task after a round
+    monkeypatch.setattr(probminhash, "TASK_LINKS", 0)
+    assert {r.node: r.least for r in probminhash.components(links, len(pairs)).collect()} == got
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 300).astype(np.uint64)
